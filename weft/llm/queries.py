@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import audio, langid, lines, mixing, pieces, quality, sharding, toxicity
+from weft.llm import audio, jaccard, langid, lines, mixing, pieces, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.find_toxic(docs, toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_telephony_audio, op2_quality_rules, op4_language_id, op5_sentencepiece, op6_mixing, op8_sharding, op9_line_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_telephony_audio, op2_quality_rules, op4_language_id, op5_sentencepiece, op6_mixing, op7_jaccard_join, op8_sharding, op9_line_dedup, op10_toxicity)}
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op8_sharding": sharding.sql(), "op9_line_dedup": lines.SQL}
