@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import audio, jaccard, langid, lines, mixing, pieces, quality, sharding, toxicity
+from weft.llm import audio, jaccard, langid, lines, mixing, pieces, quality, sharding, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify_language(docs, langid.train_language(docs))
@@ -50,5 +54,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.find_toxic(docs, toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_telephony_audio, op2_quality_rules, op4_language_id, op5_sentencepiece, op6_mixing, op7_jaccard_join, op8_sharding, op9_line_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_telephony_audio, op2_quality_rules, op3_suffix_dedup, op4_language_id, op5_sentencepiece, op6_mixing, op7_jaccard_join, op8_sharding, op9_line_dedup, op10_toxicity)}
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op8_sharding": sharding.sql(), "op9_line_dedup": lines.SQL}
