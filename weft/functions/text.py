@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, also where lambdas inside use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column | str) -> Column:
     """The text without any white space."""
     return F.regexp_replace(_col(c), WS, "")
@@ -37,11 +44,13 @@ def bare_lines(c: Column | str) -> Column:
 
 def codeblocks(c: Column | str) -> Column:
     """What stands between fence lines, block by block; a fence that isn't closed opens nothing."""
-    ls = lines(c)
-    at = F.filter(F.transform(ls, lambda x, i: F.when(F.startswith(strip(x), F.lit(FENCE)), i)), lambda i: i.isNotNull())
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(at) / 2).cast("int")), lambda k: k)
-    opened = F.filter(pairs, lambda k: k < F.floor(F.size(at) / 2))
-    return F.transform(opened, lambda k: F.array_join(F.slice(ls, F.get(at, (2 * k).cast("int")) + 2, F.get(at, (2 * k + 1).cast("int")) - F.get(at, (2 * k).cast("int")) - 1), ""))
+    def cut(ls: Column, at: Column) -> Column:
+        ks = F.filter(F.sequence(F.lit(0), F.floor(F.size(at) / 2).cast("int")), lambda k: k < F.floor(F.size(at) / 2))
+        spot = lambda k: F.get(at, k.cast("int"))
+        return F.transform(ks, lambda k: F.array_join(F.slice(ls, spot(2 * k) + 2, spot(2 * k + 1) - spot(2 * k) - 1), ""))
+
+    fences = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(F.startswith(strip(x), F.lit(FENCE)), i)), lambda i: i.isNotNull())
+    return let(lines(c), lambda ls: let(fences(ls), lambda at: cut(ls, at)))
 
 
 def sections(c: Column | str, first: str, second: str) -> Column:
@@ -49,12 +58,14 @@ def sections(c: Column | str, first: str, second: str) -> Column:
 
     Markers are found in any case, anywhere in a line; each one's first line counts.
     """
-    ls = lines(c)
-    where = lambda mark: F.array_position(F.transform(ls, lambda x: F.contains(F.lower(x), F.lit(mark.lower()))), F.lit(True))
-    a, b = where(first), where(second)
-    problem = strip(F.array_join(F.slice(ls, (a + 1).cast("int"), F.greatest(b - a - 1, F.lit(0)).cast("int")), ""))
-    solution = strip(F.array_join(F.slice(ls, (b + 1).cast("int"), F.size(ls)), ""))
-    return F.when((a > 0) & (a < b), F.struct(problem.alias("problem"), solution.alias("solution")))
+    def parse(ls: Column) -> Column:
+        where = lambda mark: F.array_position(F.transform(ls, lambda x: F.contains(F.lower(x), F.lit(mark.lower()))), F.lit(True))
+        a, b = where(first), where(second)
+        problem = strip(F.array_join(F.slice(ls, (a + 1).cast("int"), F.greatest(b - a - 1, F.lit(0)).cast("int")), ""))
+        solution = strip(F.array_join(F.slice(ls, (b + 1).cast("int"), F.size(ls)), ""))
+        return F.when((a > 0) & (a < b), F.struct(problem.alias("problem"), solution.alias("solution")))
+
+    return let(lines(c), parse)
 
 
 def joined_lower(*cols: Column | str) -> Column:
@@ -64,10 +75,12 @@ def joined_lower(*cols: Column | str) -> Column:
 
 def shingles(c: Column | str, n: int, least: int) -> Column:
     """Distinct word n-grams, words being parted by single characters that no word has; none for fewer than ``least`` words."""
-    words = F.split(_col(c), "[^A-Za-z_0-9]", -1)
-    m = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(m - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(m < F.lit(max(least, 1)), F.array().cast("array<string>")).when(m < n, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    def cut(words: Column) -> Column:
+        m = F.size(words)
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(m - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(m < max(least, n, 1), F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    return let(F.split(_col(c), "[^A-Za-z_0-9]", -1), cut)
 
 
 def sha1_low32(c: Column | str) -> Column:

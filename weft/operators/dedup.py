@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha1
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import codeblocks, shingles, sha1_low32, squeeze
+from weft.functions.text import codeblocks, squeeze
 from weft.plans.graph import components
 from weft.plans.scratch import cut
 
 PRIME = (1 << 61) - 1
+_PARTS = re.compile("[^A-Za-z_0-9]")
 REASONS = ("seeds", "problems", "solutions")
 
 
@@ -92,20 +96,23 @@ def minhash(df: DataFrame, id_col: str, text_col: str, *, n_perm: int = 256, ngr
     """
     ab = np.array(permutations(n_perm), dtype=np.uint64)
 
-    @F.pandas_udf("array<bigint>")
-    def sign(hashes: pd.Series) -> pd.Series:
-        out = []
-        for h in hashes:
-            v = np.asarray(h, dtype=np.uint64)
-            low = np.full(n_perm, (1 << 32) - 1, np.uint64)
-            for at in range(0, len(v), 4096):  # very long texts in parts
-                w = (v[at : at + 4096, None] * ab[:, 0] + ab[:, 1]) % np.uint64(PRIME) & np.uint64((1 << 32) - 1)
-                low = np.minimum(low, w.min(0))
-            out.append(low.astype(np.int64))
-        return pd.Series(out)
-
-    hashed = F.transform(shingles(F.coalesce(F.col(text_col), F.lit("")), ngram, least), sha1_low32)
-    return df.select(F.col(id_col).alias("id"), sign(hashed).alias("signature"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column("t").to_pylist():
+                words = _PARTS.split(text)
+                own = {" ".join(words[i : i + ngram]) for i in range(len(words) - ngram + 1)} if len(words) >= least else ()
+                v = np.array([int.from_bytes(sha1(x.encode()).digest()[:4], "little") for x in own], np.uint64)
+                low = np.full(n_perm, (1 << 32) - 1, np.uint64)
+                for at in range(0, len(v), 4096):  # very long texts in parts
+                    low = np.minimum(low, ((v[at : at + 4096, None] * ab[:, 0] + ab[:, 1]) % np.uint64(PRIME) & np.uint64((1 << 32) - 1)).min(0))
+                out.append(low)
+            flat = np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, n_perm, dtype=np.int32), pa.array(flat))
+            yield pa.record_batch([batch.column("id"), lists], names=["id", "signature"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, f"id {kind}, signature array<bigint>")
 
 
 def minhash_edges(signed: DataFrame, bands: int, rows: int) -> DataFrame:

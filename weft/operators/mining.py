@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from weft.functions.text import WS, lines
+from weft.functions.text import WS, let, lines
 
 
 def locate_lines(content: Column, seed: Column) -> Column:
     """struct(first, last): where the seed's lines stand in the content, counted from 1; an error where they don't."""
-    c, s = lines(content), lines(seed)
-    n = F.size(s)
-    at = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.slice(c, i, n) == s), F.lit(0))
-    at = F.coalesce(at, F.raise_error(F.lit("a seed isn't in its text")).cast("int"))
-    return F.struct(at.alias("first"), (at + n - 1).alias("last"))
+    def find(c: Column, s: Column) -> Column:
+        n = F.size(s)
+        at = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.slice(c, i, n) == s), F.lit(0))
+        at = F.coalesce(at, F.raise_error(F.lit("a seed isn't in its text")).cast("int"))
+        return F.struct(at.alias("first"), (at + n - 1).alias("last"))
+
+    return let(lines(content), lambda c: let(lines(seed), lambda s: find(c, s)))
 
 
 def comment_islands(comments: DataFrame, doc: str, code: str) -> DataFrame:

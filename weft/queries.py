@@ -476,7 +476,7 @@ def _three_keys(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat(F.md5(F.concat(F.lit("666:"), F.col("doc_id").cast("string"))), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("ord"), F.substring_index(x, "\n", 1).alias("seed"), F.substring(x, 1, 40).alias("problem"), F.substring(x, -40, 40).alias("solution"))
 
 
-@query(f"""WITH RECURSIVE k AS (SELECT row_number() OVER (ORDER BY md5('666:' || doc_id)) AS rn, doc_id, md5(regexp_replace(split_part(text, chr(10), 1), '{WS}', '', 'g')) AS s, md5(regexp_replace(substr(text, 1, 40), '{WS}', '', 'g')) AS p, md5(regexp_replace(right(text, 40), '{WS}', '', 'g')) AS q FROM documents),
+@query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('666:' || doc_id)) AS rn, doc_id, md5(regexp_replace(split_part(text, chr(10), 1), '{WS}', '', 'g')) AS s, md5(regexp_replace(substr(text, 1, 40), '{WS}', '', 'g')) AS p, md5(regexp_replace(right(text, 40), '{WS}', '', 'g')) AS q FROM documents),
 r AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS doc_id, false AS keep, NULL::VARCHAR AS reason, []::VARCHAR[] AS s, []::VARCHAR[] AS p, []::VARCHAR[] AS q
 UNION ALL SELECT k.rn, k.doc_id, x.why IS NULL, x.why, CASE WHEN x.why IS NULL THEN list_append(r.s, k.s) ELSE r.s END, CASE WHEN x.why IS NULL THEN list_append(r.p, k.p) ELSE r.p END, CASE WHEN x.why IS NULL THEN list_append(r.q, k.q) ELSE r.q END
 FROM r JOIN k ON k.rn = r.rn + 1, LATERAL (SELECT CASE WHEN list_contains(r.s, k.s) THEN 'duplicate seeds' WHEN list_contains(r.p, k.p) THEN 'duplicate problems' WHEN list_contains(r.q, k.q) THEN 'duplicate solutions' END AS why) x)
