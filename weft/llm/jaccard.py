@@ -16,7 +16,7 @@ from weft.plans.scratch import cut, table_path
 N, THRESHOLD = 3, 0.6
 BITS = 56
 #: Characters of text for a fragment, n-grams a flush of the first pass packs, n-grams for a fragment of a component, and its documents in a block.
-CHARS, FLUSH, SEGMENT, BLOCK = 24_000_000, 1 << 21, 1 << 19, 6000
+CHARS, FLUSH, SEGMENT, BLOCK = 24_000_000, 1 << 21, 1 << 22, 20000
 
 
 def document_grams(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,47 +211,65 @@ def _select(t: float):
     return run
 
 
+def _spread(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges start[i]..stop[i], end to end."""
+    size = stop - start
+    end = np.cumsum(size)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - (end - size), size)
+
+
 def _count(t: float):
-    """Fourth pass, one fragment of one block: partial overlaps of its pairs, as matrix products."""
+    """Fourth pass, one fragment of one block: partial overlaps of the pairs that share a prefix n-gram."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         ids, size, side = table["id"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["side"].to_numpy()
         parts, part = table["parts"][0].as_py(), table["part"][0].as_py()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        key = [np.cumsum(_unzip(g, np.uint64, m), dtype=np.uint64) for g, m in zip(table["grams"].to_pylist(), table["m"].to_pylist())]
-        row = np.repeat(np.arange(len(ids)), [len(k) for k in key])
-        key = np.concatenate(key)
+        own = [np.cumsum(_unzip(g, np.uint64, m), dtype=np.uint64) for g, m in zip(table["grams"].to_pylist(), table["m"].to_pylist())]
         if parts > 1:
-            mine = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts == part
-            row, key = row[mine], key[mine]
-        _, col, many = np.unique(key, return_inverse=True, return_counts=True)
-        ok = many[col] >= 2
-        row, col = row[ok], (np.cumsum(many >= 2) - 1)[col[ok]]
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        width = int(col[-1]) + 1 if len(col) else 0
-        out = [[], [], [], [], []]
-        step = max(64, min(2048, (1 << 24) // max(1, len(ids))))
-        for lo in range(0, len(ids), step):
-            hi = min(len(ids), lo + step)
-            acc = np.zeros((hi - lo, len(ids)), np.float32)
-            for c in range(0, width, 2048):
-                a, b = np.searchsorted(col, [c, c + 2048])
-                x = np.zeros((len(ids), min(2048, width - c)), np.float32)
-                x[row[a:b], col[a:b] - c] = 1
-                acc += x[lo:hi] @ x.T
-            p, q = np.nonzero(acc)
-            o = acc[p, q].astype(np.int64)
-            p = p + lo
-            good = (p < q) & ((i == j) | (side[p] != side[q]))
-            if parts == 1:
-                good &= o >= t * (size[p] + size[q] - o) - 1e-9
-            else:  # no overlap can make up for this difference in size
-                good &= np.minimum(size[p], size[q]) >= t * np.maximum(size[p], size[q]) - 1e-9
-            for c, v in zip(out, (ids[p[good]], ids[q[good]], size[p[good]], size[q[good]], o[good])):
-                c.append(v)
-        return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names=["a", "b", "na", "nb", "o"])
+            own = [k[(k * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts == part] for k in own]
+        at = np.concatenate([[0], np.cumsum([len(k) for k in own])])
+        _, col = np.unique(np.concatenate(own), return_inverse=True)
+        del own
+        first = table["prefix"].combine_chunks()
+        first = first if isinstance(first, pa.Array) else first.chunk(0)
+        of = np.repeat(np.arange(len(ids)), np.diff(first.offsets.to_numpy()))
+        key = first.flatten().to_numpy()
+        del table, first
+        order = np.argsort(key, kind="stable")  # postings by row
+        post, key = of[order], key[order]
+        stop = np.searchsorted(key, key, "right")
+        by_row = np.argsort(post, kind="stable")
+        row_at = np.searchsorted(post[by_row], np.arange(len(ids) + 1))
+        mark, seen = np.zeros(int(col.max()) + 1 if len(col) else 1, bool), np.zeros(len(ids), bool)
+        out: list[list] = [[] for _ in range(3)]
+        for r in range(len(ids)):
+            where = by_row[row_at[r] : row_at[r + 1]]
+            later = post[_spread(where + 1, stop[where])]
+            if not len(later):
+                continue
+            seen[later] = True
+            if len(later) * 8 < len(ids):
+                c = np.unique(later)
+            else:
+                c = np.flatnonzero(seen)
+            seen[c] = False
+            good = (np.minimum(size[c], size[r]) >= t * np.maximum(size[c], size[r]) - 1e-9) & ((i == j) | (side[c] != side[r]))
+            c = c[good]
+            mine = col[at[r] : at[r + 1]]
+            if not len(c) or not len(mine):
+                continue
+            mark[mine] = True
+            hit = np.concatenate([[0], np.cumsum(mark[col[_spread(at[c], at[c + 1])]])])
+            mark[mine] = False
+            end = np.cumsum(at[c + 1] - at[c])
+            o = hit[end] - hit[end - (at[c + 1] - at[c])]
+            good = o >= t * (size[c] + size[r] - o) - 1e-9 if parts == 1 else o > 0
+            for x, v in zip(out, (np.full(int(good.sum()), r), c[good], o[good])):
+                x.append(v)
+        p, q, o = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out)
+        return pa.table([pa.array(c, pa.int64()) for c in (ids[p], ids[q], size[p], size[q], o)], names=["a", "b", "na", "nb", "o"])
 
     return run
 
@@ -267,10 +285,12 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
        that reach the threshold have an n-gram in common among the rarest
        ones of both (prefix filter over the order by frequency), so they
        fall into one connected component of shared prefix n-grams.
-    3. The n-grams of a component are cut into fragments again, each fragment
-       counts the partial overlaps of its pairs, and these are summed a pair.
-       A component of over BLOCK documents is dealt into blocks, every two
-       blocks together, so that nothing is left out.
+    3. Small components are gathered in groups; in one, the pairs that share
+       a prefix n-gram are counted. The n-grams of a large component are cut
+       into fragments again, each fragment counts the partial overlaps of
+       those pairs, and these are summed a pair. A component of over BLOCK
+       documents is dealt into blocks, every two blocks together, so that
+       nothing is left out.
     Up to collisions of 56-bit hashes the result is exact.
 
     Documents with equal sets are joined once: they stand as copies of the
@@ -299,13 +319,12 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     prefix = chosen.select("id", "prefix").join(later, "id", "left_anti").select("id", F.explode("prefix").alias("k"))
     low = prefix.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
     edges = prefix.join(low, "k").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    label = components(edges)
-    sized = label.join(label.groupBy("label").agg(F.count("*").alias("s")), "label")
-    placed = chosen.select("id", "n", "m", "grams").join(sized, "id").withColumn("d", F.ceil(F.col("s") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("d")).cast("int"))
-    grown = placed.join(placed.groupBy("label").agg(F.sum("m").alias("w")), "label").withColumn("parts", F.ceil(F.col("w") / F.col("d") / SEGMENT).cast("int"))
-    dealt = grown.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("d") - 1))).withColumns({"i": F.least("side", "k"), "j": F.greatest("side", "k")})
-    units = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    partial = units.select("label", "i", "j", "part", "parts", "id", "n", "m", "side", "grams").groupBy("label", "i", "j", "part").applyInArrow(_count(threshold), "a bigint, b bigint, na bigint, nb bigint, o bigint")
+    label = cut(components(edges))
+    sized = label.join(label.join(chosen.select("id", "m"), "id").groupBy("label").agg(F.count("*").alias("s"), F.sum("m").alias("w")), "label")
+    placed = chosen.select("id", "n", "m", "prefix", "grams").join(sized, "id").withColumns({"d": F.ceil(F.col("s") / BLOCK).cast("int"), "parts": F.ceil(F.col("w") / F.ceil(F.col("s") / BLOCK) / SEGMENT).cast("int")}).withColumn("side", F.pmod(F.xxhash64("id"), F.col("d")).cast("int"))
+    dealt = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("d") - 1))).withColumns({"i": F.least("side", "k"), "j": F.greatest("side", "k"), "large": (F.col("d") > 1) | (F.col("parts") > 1)})
+    units = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("g", F.when(F.col("large"), F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(fragments))))
+    partial = units.select("large", "g", "i", "j", "part", "parts", "id", "n", "m", "side", "prefix", "grams").groupBy("large", "g", "i", "j", "part").applyInArrow(_count(threshold), "a bigint, b bigint, na bigint, nb bigint, o bigint")
     pairs = partial.groupBy("a", "b").agg(F.max("na").alias("n_a"), F.max("nb").alias("n_b"), F.sum("o").alias("overlap")).withColumn("jaccard", F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).where(F.col("jaccard") >= threshold - 1e-12)
     a, b = (copies.select(F.col("rep").alias(x), F.col("ids").alias(f"copies_{x}")) for x in "ab")
     near = pairs.join(a, "a", "left").join(b, "b", "left").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "overlap", "n_a", "n_b", "jaccard", F.coalesce("copies_a", F.array("a")).alias("copies_a"), F.coalesce("copies_b", F.array("b")).alias("copies_b"))
