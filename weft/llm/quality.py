@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,23 +73,26 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -50, 50)))
 
 
-def _fit_logistic(rows: np.ndarray, keys: np.ndarray, vals: np.ndarray, y: np.ndarray, steps: int, l2: float) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by Adam over all rows; both classes weigh alike."""
-    w, b = np.zeros(1 << BITS), 0.0
-    used, col = np.unique(keys, return_inverse=True)
-    n, u = len(y), np.zeros(len(used))
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    for t in range(1, steps + 1):
-        z = np.bincount(rows, vals * u[col], n) + b
-        d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
-        g, gb = np.bincount(col, vals * d[rows], len(used)) + l2 * u, d.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        rate = 0.5 / (1 + t / 40)
-        u -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    w[used] = u
+def _fit_logistic(at: np.ndarray, keys: np.ndarray, vals: np.ndarray, y: np.ndarray, use: np.ndarray, epochs: int, l2: float) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by Adam over small batches of the rows in ``use``; both classes weigh alike."""
+    w, b, m, v, mb, vb, t = np.zeros(1 << BITS), 0.0, np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0, 0
+    weight = np.where(y == 1, 0.5 * len(use) / max(1, (y[use] == 1).sum()), 0.5 * len(use) / max(1, (y[use] == 0).sum()))
+    rng = np.random.default_rng(7)
+    for epoch in range(epochs):
+        for rows in np.array_split(rng.permutation(use), max(1, len(use) // 128)):
+            t += 1
+            size = at[rows + 1] - at[rows]
+            end = np.cumsum(size)
+            own = np.arange(int(end[-1])) + np.repeat(at[rows] - (end - size), size)
+            k, x, r = keys[own], vals[own], np.repeat(np.arange(len(rows)), size)
+            z = np.bincount(r, x * w[k], len(rows)) + b
+            d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[rows]) * weight[rows] / len(rows)
+            g, gb = np.bincount(k, x * d[r], 1 << BITS) + l2 * w, d.sum()
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            rate = 0.3 / (1 + epoch / 3)
+            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     return w, float(b)
 
 
@@ -109,7 +113,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), c
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, steps: int = 150, l2: float = 1e-6) -> QualityModel | None:
+def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, epochs: int = 10, l2: float = 1e-6) -> QualityModel | None:
     """Fit on at most ``max_rows`` labelled rows of each label, the first by a hash of the id.
 
     A quarter of them is held out, for the calibration and held-out accuracy.
@@ -130,20 +134,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 names=["h", "y", "k", "v"],
             )
 
-    got = sample.mapInArrow(run, "h bigint, y int, k array<int>, v array<float>").toArrow().sort_by("h")
+    got = sample.mapInArrow(run, "h bigint, y int, k array<int>, v array<float>").toArrow()
     y = got["y"].to_numpy().astype(np.float64)
     if min((y == 0).sum(), (y == 1).sum()) < 8:
         return None
-    k, v = got["k"].combine_chunks(), got["v"].combine_chunks()
-    size = np.diff(k.offsets.to_numpy())
-    rows, keys, vals = np.repeat(np.arange(len(y)), size), k.flatten().to_numpy(), v.flatten().to_numpy().astype(np.float64)
+    order = np.argsort(got["h"].to_numpy(), kind="stable")  # one order, however the rows arrive
+    size = pa.compute.list_value_length(got["k"]).to_numpy().astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    keys, vals = (np.concatenate([c.flatten().to_numpy() for c in got[x].chunks]) for x in "kv")
+    del got
     held = np.zeros(len(y), bool)
     for c in (0, 1):
-        held[np.flatnonzero(y == c)[::4]] = True
-    fit = ~held[rows]
-    new = np.cumsum(~held) - 1
-    w, b = _fit_logistic(new[rows[fit]], keys[fit], vals[fit], y[~held], steps, l2)
-    z = np.bincount(rows, vals * w[keys], len(y)) + b
+        held[order[y[order] == c][::4]] = True
+    w, b = _fit_logistic(at, keys, vals, y, order[~held[order]], epochs, l2)
+    z = np.array([vals[i:j] @ w[keys[i:j]] for i, j in zip(at[:-1], at[1:])]) + b
     slope, shift = _platt(z[held], y[held])
     model = QualityModel(w, b, slope, shift, {})
     p = model.probability(z[held])
