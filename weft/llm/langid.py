@@ -117,22 +117,29 @@ def train_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rank = np.concatenate([np.arange((y == c).sum()) for c in range(len(names))])
     mark, held = rank < landmarks, (rank >= landmarks) & (rank % 5 == 0)
     data, off = content(pa.array(got["_t"].to_pylist(), pa.large_string()))
-    row, code = codes(data, off)
-    pair = np.unique(np.stack([code[mark[row]], row[mark[row]].astype(np.uint64)]), axis=1)
-    vocabulary, df = np.unique(pair[0], return_counts=True)
+    own = [codes(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))[1] for i in np.flatnonzero(mark)]
+    vocabulary, df = np.unique(np.concatenate([np.unique(c) for c in own]), return_counts=True)
+    del own
     spectrum = Spectrum(vocabulary[df >= 2] if (df >= 2).any() else vocabulary)
-    x = np.concatenate([b for _, b in spectrum.presence(data, off)])
-    x /= np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-    k_nm = (x[~held] @ x[mark].T).astype(np.float64)
-    k_mm = (x[mark] @ x[mark].T).astype(np.float64)
+
+    def presence(rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows of the normalised presence matrix, a few at a time."""
+        for some in np.array_split(rows, max(1, len(rows) // 32)):
+            size = off[some + 1] - off[some]
+            for _, x in spectrum.presence(np.concatenate([data[off[i] : off[i + 1]] for i in some]), np.concatenate([[0], np.cumsum(size)])):
+                yield x / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
+
+    at_mark = np.concatenate(list(presence(np.flatnonzero(mark))))
+    k_nm = np.concatenate([x @ at_mark.T for x in presence(np.flatnonzero(~held))]).astype(np.float64)
+    k_mm = (at_mark @ at_mark.T).astype(np.float64)
     target = np.where(y[~held][:, None] == np.arange(len(names)), 1.0, -1.0)
     weigh = 1 / np.sqrt(np.bincount(y[~held], minlength=len(names)))[y[~held]][:, None]
     a = (k_nm * weigh).T @ (k_nm * weigh) + ridge * len(names) * k_mm + 1e-8 * np.eye(len(k_mm))
     alpha = np.linalg.solve(a, (k_nm * weigh).T @ (target * weigh))
-    matrix = (x[mark].T @ alpha).astype(np.float32)
+    matrix = (at_mark.T @ alpha).astype(np.float32)
     model = LanguageModel(names, spectrum, matrix, {})
     if held.any():
-        model.held_out.update(rows=int(held.sum()), accuracy=float(((x[held] @ matrix).argmax(1) == y[held]).mean()))
+        model.held_out.update(rows=int(held.sum()), accuracy=float((np.concatenate([(x @ matrix).argmax(1) for x in presence(np.flatnonzero(held))]) == y[held]).mean()))
     return model
 
 
