@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from weft.llm._text import NOT_ALNUM, content, hashes, rows_of, slices, words
 
 #: A passage is significant up to this expected count of such passages in a clean document of the length.
-E_VALUE = 0.01
+E_VALUE = 0.003
+#: A word counts by so many bytes at its beginning: a light stem, which folds endings together.
+STEM = 7
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, begin, end, first) of words of ASCII letters, digits and longer characters; ASCII in lower case."""
+    """(hash of the stem, begin, end, first) of words of ASCII letters, digits and longer characters; ASCII in lower case."""
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     begin, end, first = words(low, off, NOT_ALNUM)
-    return hashes(low, begin, end), begin, end, first
+    return hashes(low, begin, np.minimum(end, begin + STEM)), begin, end, first
 
 
 def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -81,13 +83,14 @@ def _karlin_lambda(score: np.ndarray, prob: np.ndarray, drift: float) -> float:
     return hi
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, prior: float = 5000.0, least_z: float = 4.0, least_docs: int = 3) -> ToxicModel | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, prior: float = 5000.0, least_z: float = 4.0, least_docs: int = 3, least_odds: float = 3.0) -> ToxicModel | None:
     """Token log-odds of toxic against other labelled documents, with an informative Dirichlet prior.
 
     At most ``max_rows`` rows of either label are used, the first by a hash of
     the id. The prior has ``prior`` tokens' weight, spread as the tokens of
-    both classes are. A token with a z-score of ``least_z`` and in
-    ``least_docs`` toxic documents speaks for toxicity with its log-odds;
+    both classes are. A token with a z-score of ``least_z``, log-odds of
+    ``least_odds`` (words that are merely commoner where toxic rows come from
+    don't reach it) and in ``least_docs`` toxic documents speaks for toxicity with its log-odds;
     all others share the log-odds of the rest, the drift. Karlin and
     Altschul's lambda follows from the scores, K from the clean rows' own
     segments. None where a label has no rows or no token stands out.
@@ -117,8 +120,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     w, y0, y1 = x[:, 0].view(np.uint64), x[:, 1].astype(float), x[:, 2].astype(float)
     a = prior * (y0 + y1) / (t0 + t1)
     odds = lambda y, t: np.log(y + a) - np.log(t + prior - y - a)
-    z = (odds(y1, t1) - odds(y0, t0)) / np.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-    up = z >= least_z
+    lead = odds(y1, t1) - odds(y0, t0)
+    up = (lead / np.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= least_z) & (lead >= least_odds)
     if not up.any():
         return None
     q, p = (y1 + a)[up] / (t1 + prior), (y0 + a)[up] / (t0 + prior)
