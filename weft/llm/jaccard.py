@@ -16,7 +16,7 @@ from weft.plans.scratch import cut, table_path
 N, THRESHOLD = 3, 0.6
 BITS = 56
 #: Characters of text for a fragment, n-grams a flush of the first pass packs, n-grams for a fragment of a component, and its documents in a block.
-CHARS, FLUSH, SEGMENT, BLOCK = 24_000_000, 1 << 21, 1 << 22, 20000
+CHARS, FLUSH, SEGMENT, BLOCK = 10_000_000, 1 << 20, 1 << 22, 20000
 
 
 def document_grams(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
