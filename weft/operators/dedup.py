@@ -104,8 +104,8 @@ def minhash(df: DataFrame, id_col: str, text_col: str, *, n_perm: int = 256, ngr
                 own = {" ".join(words[i : i + ngram]) for i in range(len(words) - ngram + 1)} if len(words) >= least else ()
                 v = np.array([int.from_bytes(sha1(x.encode()).digest()[:4], "little") for x in own], np.uint64)
                 low = np.full(n_perm, (1 << 32) - 1, np.uint64)
-                for at in range(0, len(v), 4096):  # very long texts in parts
-                    low = np.minimum(low, ((v[at : at + 4096, None] * ab[:, 0] + ab[:, 1]) % np.uint64(PRIME) & np.uint64((1 << 32) - 1)).min(0))
+                for at in range(0, len(v), 128):  # parts that stay in the cache
+                    low = np.minimum(low, ((v[at : at + 128, None] * ab[:, 0] + ab[:, 1]) % np.uint64(PRIME) & np.uint64((1 << 32) - 1)).min(0))
                 out.append(low)
             flat = np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, n_perm, dtype=np.int32), pa.array(flat))
@@ -119,13 +119,13 @@ def minhash_edges(signed: DataFrame, bands: int, rows: int) -> DataFrame:
     """(a, b): every id that shares a band with others, and the least id there."""
     key = lambda k: F.md5(F.array_join(F.slice("signature", 1 + k * rows, rows), ","))
     banded = signed.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), key(k).alias("v")) for k in range(bands)])).alias("x")).select("id", "x.k", "x.v")
-    low = banded.groupBy("k", "v").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return banded.join(low, ["k", "v"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    low = banded.withColumn("b", F.min("id").over(Window.partitionBy("k", "v")))  # a join would sign every text twice
+    return low.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def minhash_clusters(df: DataFrame, id_col: str, text_col: str, *, n_perm: int = 256, threshold: float = 0.7, ngram: int = 5, least: int = 10, shape: tuple[int, int] | None = None) -> DataFrame:
     """(id, cluster): the least id among all that bands connect, directly or not."""
     bands, rows = shape or band_shape(threshold, n_perm)
-    label = components(minhash_edges(minhash(df, id_col, text_col, n_perm=n_perm, ngram=ngram, least=least), bands, rows))
+    label = components(cut(minhash_edges(minhash(df, id_col, text_col, n_perm=n_perm, ngram=ngram, least=least), bands, rows)))  # read more than once
     ids = df.select(F.col(id_col).alias("id"))
     return ids.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("cluster"))

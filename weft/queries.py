@@ -487,7 +487,10 @@ def clean_greedy3(t: Tables) -> DataFrame:
 
 # --- near dedup --------------------------------------------------------------
 
-N_PERM, SHAPE = 8, (4, 2)
+#: The operator's own setting, and the reference's.
+PERMS, SHAPE = 256, dedup.band_shape(0.7, 256)
+#: The SQL is of 8 permutations in bands of 2, and so no oracle of minhash_signature and what follows from it.
+N_PERM = 8
 _AB = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(dedup.permutations(N_PERM)))
 SHINGLE = """w AS (SELECT doc_id, string_split_regex(text, '[^A-Za-z_0-9]') AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 10))"""
 MINHASH = f"""WITH {SHINGLE}, h AS (SELECT doc_id, ('0x' || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2))::BIGINT::HUGEINT AS h FROM (SELECT doc_id, sha1(g) AS s FROM g)),
@@ -497,7 +500,7 @@ LABELS = BANDS.replace("WITH w", "WITH RECURSIVE w", 1) + ", u AS (SELECT a, b F
 
 
 def _signed(t: Tables) -> DataFrame:
-    return dedup.minhash(t.documents, "doc_id", "text", n_perm=N_PERM)
+    return dedup.minhash(t.documents, "doc_id", "text", n_perm=PERMS)
 
 
 @query(f"WITH {SHINGLE} SELECT w.doc_id, count(g.g) AS n FROM w LEFT JOIN g ON g.doc_id = w.doc_id GROUP BY 1")
@@ -516,7 +519,7 @@ def minhash_edges(t: Tables) -> DataFrame:
 
 
 def _clusters(t: Tables) -> DataFrame:
-    return dedup.minhash_clusters(t.documents, "doc_id", "text", n_perm=N_PERM, shape=SHAPE)
+    return dedup.minhash_clusters(t.documents, "doc_id", "text", n_perm=PERMS, shape=SHAPE)
 
 
 @query(LABELS + " SELECT id, min(l) AS cluster FROM rc GROUP BY id")
