@@ -58,3 +58,18 @@ def test_minhash_queries(run):
     assert {r.doc_id for r in run("minhash_keep", documents=docs)} == keep and keep >= set(range(28))
     assert {29, 31, 33, 35, 37}.isdisjoint(keep)
     assert [tuple(r)[:3] for r in run("dedup_report", documents=docs)] == [(len(texts), len(keep), len(texts) - len(keep))]
+
+
+def test_greedy_takes_whole_texts(run):
+    head, tail = "h" * 50, "t" * 50
+    rows = [(1, head + "a" * 60 + tail), (2, head + "b" * 90 + "c" * 80 + tail), (3, "one\nx y z"), (4, "one\nother words here"), (5, "p"), (6, "q"), (7, "one\nx  y z"), (8, "same half" + "other one"), (9, "same half" + "third one")]
+    got = {r.doc_id: r.reason for r in run("clean_greedy3", documents=(rows, "doc_id long, text string"))}
+    seen, want = [set(), set(), set()], {}
+    for i, x in sorted(rows, key=lambda r: hashlib.md5(f"666:{r[0]}".encode()).hexdigest()):
+        n = (len(x) + 1) // 2
+        keys = ["".join(k.split()) or "".join(x.split()) for k in (x, x[:n], x[n:])]
+        want[i] = next((f"duplicate {r}" for k, s, r in zip(keys, seen, dedup.REASONS) if k in s), None)
+        if not want[i]:
+            for k, s in zip(keys, seen):
+                s.add(k)
+    assert got == want and sum(map(bool, got.values())) == 2
