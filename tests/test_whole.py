@@ -73,3 +73,21 @@ def test_greedy_takes_whole_texts(run):
             for k, s in zip(keys, seen):
                 s.add(k)
     assert got == want and sum(map(bool, got.values())) == 2
+
+
+def test_formats_hold_whole_texts(run):
+    rows = [(i, "".join(random.Random(i).choices("abc \né", k=n)), "s") for i, n in enumerate([0, 1, 2, 501, 500, 3000])]
+    docs = (rows, "doc_id long, text string, source string")
+    turns = ([(1, 0, "user", "u"), (1, 1, "assistant", "a")], "conv_id long, turn int, role string, text string")
+    cut = {i: (x[: (len(x) + 1) // 2], x[(len(x) + 1) // 2 :]) for i, x, _ in rows}
+    assert {r.doc_id: (r.instruction, r.response) for r in run("fmt_evol", documents=docs)} == cut
+    assert {(r.instruction, r.response) for r in run("combine_union", documents=docs, conversations=turns)} == {*cut.values(), ("u", "a")}
+    for r in run("fmt_instruct", documents=docs):
+        assert r.instruction.endswith(cut[r.doc_id][0]) and r.response == cut[r.doc_id][1]
+    for name, col in (("fmt_chat_prompt", "prompt"), ("embed_text_mode", "text"), ("fim_prompt", "star"), ("fim_prompt", "llama"), ("fim_prompt", "hole")):
+        for r in run(name, documents=docs):
+            a, b = cut[r.doc_id]
+            assert a in r[col] and b in r[col][r[col].index(a) + len(a) :]
+    for r in run("fmt_with_input", documents=docs):
+        a, b = cut[r.doc_id]
+        assert r.instruction == (a + b if r.doc_id % 3 == 0 or not b.strip() else f"{a}\nInput: {b}")

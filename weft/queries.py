@@ -99,6 +99,7 @@ def _resp() -> Column:
     return _part(1, 2)
 
 
+#: The SQL is of the first 500 characters, and so no oracle of the queries, which take the whole text.
 SI, SR = "substr(text, 1, 200)", "substr(text, 201, 300)"
 
 
@@ -111,7 +112,7 @@ def fmt_evol(t: Tables) -> DataFrame:
 @query(f"SELECT doc_id, CASE WHEN {_strip('x')} = '' THEN {SI} ELSE {SI} || chr(10) || 'Input: ' || x END AS instruction FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(160) ELSE {SR} END AS x FROM documents)")
 def fmt_with_input(t: Tables) -> DataFrame:
     extra = F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(_resp())
-    return t.documents.select("doc_id", formatting.with_input(_instr(), extra).alias("instruction"))
+    return t.documents.select("doc_id", formatting.with_input(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(_instr()), extra).alias("instruction"))
 
 
 @query(f"SELECT doc_id, source, '{formatting.ASK}' || {SI} AS instruction, {SR} AS response FROM documents".replace("\n'", "' || chr(10)"))
