@@ -91,3 +91,15 @@ def test_formats_hold_whole_texts(run):
     for r in run("fmt_with_input", documents=docs):
         a, b = cut[r.doc_id]
         assert r.instruction == (a + b if r.doc_id % 3 == 0 or not b.strip() else f"{a}\nInput: {b}")
+
+
+def test_examples_of_the_reference_length(run):
+    rows = [(c, k, role, x) for c, n in enumerate([5, 800, 1213, 1214, 4000]) for k, (role, x) in enumerate([("user", "u"), ("assistant", "v" * n)])]
+    turns = (rows, "conv_id long, turn int, role string, text string")
+    want = {c: ([1, 117] + [118] * n + [2])[:1216] for c, n in enumerate([5, 800, 1213, 1214, 4000])}
+    got = run("sft_examples", conversations=turns)
+    assert {r.conv_id: r.input_ids for r in got} == {c: ",".join(map(str, x)) for c, x in want.items()}
+    assert {r.conv_id for r in got if r.exceeding_length} == {3, 4}
+    assert [tuple(r) for r in run("truncation_rate", conversations=turns)] == [(2, 5)]
+    assert {r.conv_id: r.input_ids.count(",") + 1 for r in run("pad_batch", conversations=turns)} == {c: len(x) for c, x in want.items()}
+    assert {r.conv_id: r.attention_mask.count("1") for r in run("collate_mask", conversations=turns)} == {c: len(x) for c, x in want.items()}

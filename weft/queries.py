@@ -669,8 +669,12 @@ def encode_bos_eos(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.array_join(sft.marked(sft.code_points(F.col("text")), 1, 2), ",").alias("ids"))
 
 
+#: The reference's length. The SQL is of 512 tokens, and so no oracle of these four queries.
+MOST = 1216
+
+
 def _examples(t: Tables) -> DataFrame:
-    return sft.examples(_turns(t), sft.marked(sft.code_points(F.col("instruction")), bos=1), sft.marked(sft.code_points(F.col("response")), eos=2), 512)
+    return sft.examples(_turns(t), sft.marked(sft.code_points(F.col("instruction")), bos=1), sft.marked(sft.code_points(F.col("response")), eos=2), MOST)
 
 
 EX = f"(SELECT conv_id, turn, list_concat(p, c)[1 : 512] AS ids, list_concat(list_transform(p, lambda x: -100), c)[1 : 512] AS labels, len(p) + len(c) > 512 AS over FROM (SELECT conv_id, turn, list_concat([1], {IDS.format('instruction')}) AS p, list_concat({IDS.format('response')}, [2]) AS c FROM {TURNS}))"
