@@ -103,3 +103,9 @@ def test_examples_of_the_reference_length(run):
     assert [tuple(r) for r in run("truncation_rate", conversations=turns)] == [(2, 5)]
     assert {r.conv_id: r.input_ids.count(",") + 1 for r in run("pad_batch", conversations=turns)} == {c: len(x) for c, x in want.items()}
     assert {r.conv_id: r.attention_mask.count("1") for r in run("collate_mask", conversations=turns)} == {c: len(x) for c, x in want.items()}
+
+
+def test_every_document_is_a_seed(run):
+    rows = [(i, x, "en", f"s{i}") for i, x in enumerate(["a\nb\nc", "", "no line break", "x\n" * 40, "tiny"])]
+    got = run("seed_lookup", documents=(rows, "doc_id long, text string, lang string, source string"))
+    assert {tuple(r) for r in got} == {(i, s, lang) for i, _, lang, s in rows} and len(got) == 5
