@@ -109,3 +109,22 @@ def test_every_document_is_a_seed(run):
     rows = [(i, x, "en", f"s{i}") for i, x in enumerate(["a\nb\nc", "", "no line break", "x\n" * 40, "tiny"])]
     got = run("seed_lookup", documents=(rows, "doc_id long, text string, lang string, source string"))
     assert {tuple(r) for r in got} == {(i, s, lang) for i, _, lang, s in rows} and len(got) == 5
+
+
+def test_markers_hold_whole_texts(run):
+    base = ["w%d " % i * (40 * i + 1) + "end%d" % i for i in range(12)]
+    docs = ([(i, x) for i, x in enumerate(base)], "doc_id long, text string")
+    half = lambda x: (x[: -(-len(x) // 2)].strip(), x[-(-len(x) // 2) :].strip())
+    third = lambda x: [x[-(-len(x) * k // 3) : -(-len(x) * (k + 1) // 3)] for k in range(3)]
+    want = {i: half(x) if i % 4 == 0 else ("", "") if i % 4 == 2 else (None, None) for i, x in enumerate(base)}
+    assert {r.doc_id: (r.problem, r.solution) for r in run("parse_sections", documents=docs)} == want
+    assert {r.doc_id for r in run("parse_valid", documents=docs)} == {0, 4, 8}
+    tail = {i: [third(x)[2] + "\n"] if i % 2 == 0 else [] for i, x in enumerate(base)}
+    assert {r.doc_id: (r.blocks, r.n) for r in run("codeblocks", documents=docs)} == {i: ("|".join([third(x)[1] + "\n", *tail[i]]), 1 + len(tail[i])) for i, x in enumerate(base)}
+    assert {r.doc_id: r.completion for r in run("truncate_fence", documents=docs)} == {i: third(x)[0] + "\n  " for i, x in enumerate(base)}
+    assert {r.doc_id: r.comment for r in run("strip_comment", documents=docs)} == {i: f"{x}\nsecond\nthird\nfourth" for i, x in enumerate(base)}
+    assert {r.doc_id: r.summary for r in run("doc_summary", documents=docs)} == dict(enumerate(base))
+    got = {r.doc_id: r.prompt for r in run("pair_python", documents=docs)}
+    assert set(got) == {i for i in range(12) if i % 3 < 2} and all(base[i] in p for i, p in got.items())
+    fenced = ([(i, "x\n```\nshared\n```\n") for i in range(1, 3)] + [(5, "y"), (6, "y")], "doc_id long, text string")
+    assert {r.doc_id: r.copied for r in run("codeblock_copy", documents=fenced)} == {1: True, 2: True, 5: True, 6: False}

@@ -149,12 +149,13 @@ def combine_union(t: Tables) -> DataFrame:
     return formatting.combine(_turns(t), t.documents.select(_instr().alias("instruction"), _resp().alias("response")))
 
 
+#: MARKED, FENCED, PY and COMMENT are of parts of the texts, and so no oracles of the queries, which take whole texts.
 MARKED = "CASE doc_id % 4 WHEN 0 THEN 'Intro' || chr(10) || '[Problem description]' || chr(10) || substr(text, 1, 80) || chr(10) || 'the [SOLUTION] is' || chr(10) || substr(text, 81, 80) WHEN 1 THEN '[solution]' || chr(10) || text || chr(10) || '[problem description]' WHEN 2 THEN '[Problem description]' || chr(10) || '[Solution]' || chr(10) ELSE text END"
 
 
 def _marked() -> Column:
     nl, m = F.lit("\n"), F.col("doc_id") % 4
-    return F.when(m == 0, F.concat(F.lit("Intro\n[Problem description]\n"), F.substring("text", 1, 80), F.lit("\nthe [SOLUTION] is\n"), F.substring("text", 81, 80))).when(m == 1, F.concat(F.lit("[solution]\n"), "text", nl, F.lit("[problem description]"))).when(m == 2, F.lit("[Problem description]\n[Solution]\n")).otherwise(F.col("text"))
+    return F.when(m == 0, F.concat(F.lit("Intro\n[Problem description]\n"), _part(0, 2), F.lit("\nthe [SOLUTION] is\n"), _part(1, 2))).when(m == 1, F.concat(F.lit("[solution]\n"), "text", nl, F.lit("[problem description]"))).when(m == 2, F.concat("text", F.lit("\n[Problem description]\n[Solution]\n"))).otherwise(F.col("text"))
 
 
 SECTIONS = f"""(SELECT doc_id, ls, list_position(list_transform(ls, lambda x: contains(lower(x), '[problem description]')), true) AS a,
@@ -179,7 +180,7 @@ FENCED = "substr(text, 1, 50) || chr(10) || '  ```python' || chr(10) || substr(t
 
 def _fenced() -> Column:
     tail = F.when(F.col("doc_id") % 2 == 0, F.lit("\n```")).otherwise(F.lit(""))
-    return F.concat(F.substring("text", 1, 50), F.lit("\n  ```python\n"), F.substring("text", 51, 60), F.lit("\n```\nmid\n```\n"), F.substring(F.col("text"), F.lit(111), (30 * (F.col("doc_id") % 3)).cast("int")), tail)
+    return F.concat(_part(0, 3), F.lit("\n  ```python\n"), _part(1, 3), F.lit("\n```\nmid\n```\n"), _part(2, 3), tail)
 
 
 BLOCKS = f"""list_transform(range(len(fences) // 2), lambda k: array_to_string(ls[fences[2 * k + 1] + 1 : fences[2 * k + 2] - 1], ''))"""
@@ -194,8 +195,8 @@ def codeblocks(t: Tables) -> DataFrame:
 @query("SELECT doc_id, doc_id % 5 = 0 AS copied FROM documents")
 def codeblock_copy(t: Tables) -> DataFrame:
     block = lambda x: F.concat(F.lit("See\n```\n"), x, F.lit("\n```\n"))
-    own = F.concat(F.lit("code "), F.col("doc_id").cast("string"))
-    other = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" code "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(F.concat(own, F.lit("x")))
+    own = F.concat(F.lit("code "), F.col("doc_id").cast("string"), F.lit("\n"), "text")
+    other = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("  "), own, F.lit("\n"))).otherwise(F.concat(own, F.lit("x")))
     return t.documents.select("doc_id", dedup.copies_problem(block(own), block(other)).alias("copied"))
 
 
@@ -225,7 +226,7 @@ PY = "CASE doc_id % 3 WHEN 0 THEN 'def f():' || chr(10) || '    \"\"\"' || text
 SELECT doc_id, y, CASE WHEN contains(y, '\"\"\"') THEN '\"\"\"' ELSE repeat(chr(39), 3) END AS q, instr(y, CASE WHEN contains(y, '\"\"\"') THEN '\"\"\"' ELSE repeat(chr(39), 3) END) AS p FROM (SELECT doc_id, {PY} AS y FROM documents))) WHERE e IS NOT NULL""")
 def pair_python(t: Tables) -> DataFrame:
     m = F.col("doc_id") % 3
-    y = F.when(m == 0, F.concat(F.lit('def f():\n    """'), "text", F.lit('"""\n    return 1'))).when(m == 1, F.concat(F.lit("def g():\n  '''"), F.substring("text", 1, 20), F.lit("'''\n  pass"))).otherwise(F.lit("def h(): pass"))
+    y = F.when(m == 0, F.concat(F.lit('def f():\n    """'), "text", F.lit('"""\n    return 1'))).when(m == 1, F.concat(F.lit("def g():\n  '''"), "text", F.lit("'''\n  pass"))).otherwise(F.concat(F.lit("def h(): pass\n"), "text"))
     return t.documents.select("doc_id", y.alias("y")).select("doc_id", formatting.pair_python(F.col("y")).alias("x")).where("x is not null").select("doc_id", "x.prompt", "x.completion")
 
 
@@ -626,14 +627,14 @@ COMMENT = "'/** ' || substr(text, 1, 60) || chr(10) || ' * second */' || chr(10)
 
 @query(f"""SELECT doc_id, {_strip("array_to_string(list_transform(string_split(y, chr(10)), lambda l: " + _strip("regexp_replace(regexp_replace(" + _strip("l") + ", '[*]/\\z', ''), '^([*]|/[*][*]|/[*]|///|//)', '')") + "), chr(10))")} AS comment FROM (SELECT doc_id, {COMMENT} AS y FROM documents)""")
 def strip_comment(t: Tables) -> DataFrame:
-    y = F.concat(F.lit("/** "), F.substring("text", 1, 60), F.lit("\n * second */\n// third \n///fourth*/"))
+    y = F.concat(F.lit("/** "), "text", F.lit("\n * second */\n// third \n///fourth*/"))
     return t.documents.select("doc_id", T.strip_comment(y).alias("comment"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(y, chr(10) || chr(10)) THEN split_part(y, chr(10) || chr(10), 1) WHEN contains(y, '@') THEN split_part(y, '@', 1) ELSE y END AS summary FROM (SELECT doc_id, substr(text, 1, 100) || CASE doc_id % 3 WHEN 0 THEN chr(10) || chr(10) || 'more' WHEN 1 THEN '@param x' ELSE '' END AS y FROM documents)")
 def doc_summary(t: Tables) -> DataFrame:
     m = F.col("doc_id") % 3
-    y = F.concat(F.substring("text", 1, 100), F.when(m == 0, F.lit("\n\nmore")).when(m == 1, F.lit("@param x")).otherwise(F.lit("")))
+    y = F.concat("text", F.when(m == 0, F.lit("\n\nmore")).when(m == 1, F.lit("@param x")).otherwise(F.lit("")))
     return t.documents.select("doc_id", T.doc_summary(y).alias("summary"))
 
 
