@@ -66,7 +66,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ahead = cut(ahead.drop("_sum"))
     totals = {r["_src"]: r["n"] for r in ahead.groupBy("_src").agg(F.max("_all").alias("n")).collect()}
     plan = _schedule(dict(sorted(totals.items())), knots, weights)
-    if budget is None:
+    every_one = budget is None
+    if every_one:
         budget = max((totals[s] / own[-1][3] for s, own in plan if totals[s] and own[-1][3] > 0), default=0.0)
     spark = docs.sparkSession
     table = spark.createDataFrame([(s, own) for s, own in plan], "_src string, _segments array<struct<t:double,w:double,slope:double,done:double>>")
@@ -76,6 +77,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     due = F.element_at("_segments", -1)["done"] * F.lit(float(budget)) * F.lit(_SLACK)
     begin = (F.col("_ahead") + F.col("_local")).cast("double")
     rounds = F.when(F.col("_all") == 0, F.lit(1)).otherwise(F.ceil((due - begin) / F.col("_all"))).cast("int")
+    if every_one:  # one without tokens at the end of the source that sets the budget begins where all is delivered
+        rounds = F.when(F.col("n_tokens") == 0, F.greatest(rounds, F.lit(1))).otherwise(rounds)
     every = placed.withColumns({"_begin": begin, "_rounds": rounds}).where("_rounds > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_rounds") - 1)))
     y = (F.col("_begin") + F.col("epoch") * F.col("_all")) / F.lit(float(budget) or 1.0)
     seg = F.element_at(F.filter("_segments", lambda s: s["done"] <= F.col("_y")), -1)
