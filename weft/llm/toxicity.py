@@ -10,19 +10,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._text import NOT_ALNUM, content, hashes, rows_of, slices, words
+from weft.llm._text import NOT_ALNUM, content, grams, hashes, mix, rows_of, slices, within, words
+from weft.plans.scratch import cut
 
 #: A passage is significant up to this expected count of such passages in a clean document of the length.
 E_VALUE = 0.003
-#: A word counts by so many bytes at its beginning: a light stem, which folds endings together.
-STEM = 7
+#: Signed root of the likelihood ratio from which a word's lean to toxic documents is no chance.
+LEAST_ROOT = 3.0
+#: Word n-gram whose least hashes tell near copies among the training rows.
+SKETCH, SKETCHES = 5, 3
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the stem, begin, end, first) of words of ASCII letters, digits and longer characters; ASCII in lower case."""
+    """(hash, begin, end, first) of words of ASCII letters, digits and longer characters; ASCII in lower case."""
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     begin, end, first = words(low, off, NOT_ALNUM)
-    return hashes(low, begin, np.minimum(end, begin + STEM)), begin, end, first
+    return hashes(low, begin, end), begin, end, first
+
+
+def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SKETCHES least hashes of each row's word n-grams; a row of fewer words has the hash of them all."""
+    n = len(first) - 1
+    out = np.full((n, SKETCHES), np.iinfo(np.uint64).max, np.uint64)
+    ok = within(first, SKETCH)
+    g, row = grams(h, SKETCH)[ok], rows_of(first)[: len(ok)][ok]
+    for k in range(1, SKETCH):
+        short = np.flatnonzero(np.diff(first) == k)
+        g, row = np.concatenate([g, grams(h, k)[first[short]]]), np.concatenate([row, short])
+    for k in range(SKETCHES):
+        np.minimum.at(out[:, k], row, mix(g + np.uint64(k + 1)))
+    return out
+
+
+def lean(y1: np.ndarray, y0: np.ndarray, d1: int, d0: int) -> np.ndarray:
+    """Signed root of the likelihood ratio of counts in d1 toxic and d0 other documents against one common rate."""
+    e1 = (y1 + y0) * (d1 / (d1 + d0))
+    e0 = (y1 + y0) - e1
+    part = lambda y, e: np.where(y > 0, y * np.log(np.maximum(y, 1) / np.maximum(e, 1e-300)), 0.0)
+    return np.sqrt(np.maximum(2 * (part(y1, e1) + part(y0, e0)), 0)) * np.sign(y1 - e1)
 
 
 def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -83,61 +108,101 @@ def _karlin_lambda(score: np.ndarray, prob: np.ndarray, drift: float) -> float:
     return hi
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, prior: float = 5000.0, least_z: float = 4.0, least_docs: int = 3, least_odds: float = 3.0) -> ToxicModel | None:
-    """Token log-odds of toxic against other labelled documents, with an informative Dirichlet prior.
+def word_scores(y1: np.ndarray, y0: np.ndarray, t1: int, t0: int, size: int, d1: int, d0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(chosen, scores, background rates of the chosen, drift) from counts of words in toxic and other documents.
+
+    A class's Dirichlet prior has its share of one occurrence for each of
+    ``size`` words, so a word that was never seen leans to neither.
+    """
+    a1, a0 = t1 / (t1 + t0), t0 / (t1 + t0)
+    up = np.flatnonzero(lean(y1, y0, d1, d0) >= LEAST_ROOT)
+    q, p = (y1[up] + a1) / (t1 + a1 * size), (y0[up] + a0) / (t0 + a0 * size)
+    return up, np.log(q / p), p, float(np.log((1 - q.sum()) / (1 - p.sum())))
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000) -> ToxicModel | None:
+    """Word log-odds of toxic against other labelled documents, with Dirichlet priors.
 
     At most ``max_rows`` rows of either label are used, the first by a hash of
-    the id. The prior has ``prior`` tokens' weight, spread as the tokens of
-    both classes are. A token with a z-score of ``least_z``, log-odds of
-    ``least_odds`` (words that are merely commoner where toxic rows come from
-    don't reach it) and in ``least_docs`` toxic documents speaks for toxicity with its log-odds;
-    all others share the log-odds of the rest, the drift. Karlin and
-    Altschul's lambda follows from the scores, K from the clean rows' own
-    segments. None where a label has no rows or no token stands out.
+    the id. Of near copies in a label (rows that share one of SKETCHES least
+    hashes of word n-grams) one is used, else the ordinary words of a text
+    that was copied often would count as toxic. A word counts once a document.
+    Every word whose lean to toxic documents is significant (LEAST_ROOT)
+    scores its log-odds; the others share the log-odds of all that is left,
+    the drift, which is negative. Karlin and Altschul's lambda follows from
+    the scores, K from the segments of a third of the clean rows, which takes
+    no part in the counts. Ties in the hash go by id. Rows without id, text
+    or label, and empty texts, take no part; a row that repeats is a near
+    copy of itself. None where a label has no rows or no word stands out.
     """
-    given = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y")).withColumn("_h", F.xxhash64("_id", F.lit(13)))
+    c = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    given = labels.where(c(label_col).isin(0, 1) & c(id_col).isNotNull()).groupBy(c(id_col).alias("_id")).agg(F.max(c(label_col)).cast("int").alias("_y")).withColumn("_h", F.xxhash64("_id", F.lit(13)))
     ids = given.where("_y = 0").orderBy("_h", "_id").limit(max_rows).unionByName(given.where("_y = 1").orderBy("_h", "_id").limit(max_rows))
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(ids), "_id").select("_y", "_t")
+    text = docs.where(c(text_col).isNotNull() & c(id_col).isNotNull()).select(c(id_col).alias("_id"), c(text_col).cast("string").alias("_t"))
+    sample = cut(text.join(F.broadcast(ids), "_id").select("_h", "_y", "_t"))  # bounded by max_rows
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_t", 1 << 22):
             h, _, _, first = tokens(*content(part.column("_t")))
-            row = rows_of(first)
-            y = part.column("_y").to_numpy()
-            key, n = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1, return_counts=True)
-            tok, lab = key[0], y[key[1].astype(np.int64)]
-            each, inverse = np.unique(tok, return_inverse=True)
-            m = len(each)
-            yield pa.record_batch([pa.array(each.view(np.int64)), *(pa.array(np.bincount(inverse, w, m).astype(np.int64)) for w in (n * (lab == 0), n * (lab == 1), 1.0 * (lab == 1)))], names=["w", "n0", "n1", "d1"])
-
-    counted = sample.mapInArrow(count, "w bigint, n0 bigint, n1 bigint, d1 bigint").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("d1").alias("d1"))
-    all_rows = F.struct(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    tested = counted.withColumn("t", F.lit(1)).groupBy("t").agg(all_rows.alias("s"), F.collect_list(F.when(F.col("d1") >= least_docs, F.struct("w", "n0", "n1"))).alias("x")).collect()
-    if not tested or not tested[0]["s"]["n0"] or not tested[0]["s"]["n1"] or not tested[0]["x"]:
+            s = sketches(h, first)
+            some = pa.array(np.diff(first) > 0)
+            yield pa.record_batch([part.column("_h"), part.column("_y"), *(pa.array(s[:, k].view(np.int64)) for k in range(SKETCHES))], names=["h", "y", *(f"s{k}" for k in range(SKETCHES))]).filter(some)
+
+    seen = sample.mapInArrow(sketched, "h bigint, y int, " + ", ".join(f"s{k} bigint" for k in range(SKETCHES))).toArrow()
+    h, y = seen["h"].to_numpy(), seen["y"].to_numpy()
+    order = np.argsort(h, kind="stable")
+    alone = np.ones(len(h), bool)
+    for k in range(SKETCHES):
+        s = seen[f"s{k}"].to_numpy()
+        for label in (0, 1):
+            own = order[y[order] == label]
+            _, head = np.unique(s[own], return_index=True)
+            later = np.ones(len(own), bool)
+            later[head] = False
+            alone[own[later]] = False
+    used = np.unique(np.stack([h[alone], y[alone]]), axis=1)
+    aside = (used[1] == 0) & (used[0] % 3 == 0)
+    if (used[1] == 1).sum() == 0 or ((used[1] == 0) & ~aside).sum() == 0:
+        return None
+    d1, d0 = int((used[1] == 1).sum()), int(((used[1] == 0) & ~aside).sum())
+    role = docs.sparkSession.createDataFrame([(int(a), bool(b)) for a, b in zip(used[0], aside)], "_h bigint, _aside boolean")
+    chosen = sample.join(F.broadcast(role), "_h")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_t", 1 << 22):
+            w, _, _, first = tokens(*content(part.column("_t")))
+            key = np.unique(np.stack([w, rows_of(first).astype(np.uint64)]), axis=1)
+            label = part.column("_y").to_numpy()[key[1].astype(np.int64)]
+            each, inverse = np.unique(key[0], return_inverse=True)
+            yield pa.record_batch([pa.array(each.view(np.int64)), *(pa.array(np.bincount(inverse[label == v], minlength=len(each))) for v in (1, 0))], names=["w", "y1", "y0"])
+
+    counted = cut(chosen.where("not _aside").select("_y", "_t").mapInArrow(count, "w bigint, y1 bigint, y0 bigint").groupBy("w").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
+    total = counted.agg(F.coalesce(F.sum("y1"), F.lit(0)).alias("t1"), F.coalesce(F.sum("y0"), F.lit(0)).alias("t0"), F.count("*").alias("size")).first()
+    if not total["t1"] or not total["t0"]:
         return None
-    t0, t1 = float(tested[0]["s"]["n0"]), float(tested[0]["s"]["n1"])
-    x = np.array([(r["w"], r["n0"], r["n1"]) for r in tested[0]["x"]], np.int64)
-    w, y0, y1 = x[:, 0].view(np.uint64), x[:, 1].astype(float), x[:, 2].astype(float)
-    a = prior * (y0 + y1) / (t0 + t1)
-    odds = lambda y, t: np.log(y + a) - np.log(t + prior - y - a)
-    lead = odds(y1, t1) - odds(y0, t0)
-    up = (lead / np.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= least_z) & (lead >= least_odds)
-    if not up.any():
+    often = counted.where("y1 > 1").toArrow().sort_by("w")
+    w, y1, y0 = (often[k].to_numpy() for k in ("w", "y1", "y0"))
+    up, score, p, drift = word_scores(y1, y0, total["t1"], total["t0"], total["size"], d1, d0)
+    if not len(up):
         return None
-    q, p = (y1 + a)[up] / (t1 + prior), (y0 + a)[up] / (t0 + prior)
-    order = np.argsort(w[up])
-    score, drift = np.log(q / p), float(np.log((1 - q.sum()) / (1 - p.sum())))
+    token = w[up].view(np.uint64)
+    by = np.argsort(token)
     lam = _karlin_lambda(score, p, drift)
-    model = ToxicModel(w[up][order], score[order], drift, lam, 1.0)
+    model = ToxicModel(token[by], score[by], drift, lam, 1.0)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_t", 1 << 22):
             found, length = _scan(part.column("_t"), model)
             yield pa.record_batch([pa.array([int(length.sum())]), pa.array([[s for *_, s in found]], pa.list_(pa.float64()))], names=["n", "s"])
 
-    least = float(score.min())
-    seen = sample.where("_y = 0").select("_t").mapInArrow(clean, "n bigint, s array<double>").agg(F.sum("n").alias("n"), F.sum(F.size(F.filter("s", lambda v: v >= least))).alias("over")).first()
-    return ToxicModel(model.token, model.score, drift, lam, float(((seen["over"] or 0) + 1) * np.exp(lam * least) / max(1, seen["n"] or 0)))
+    got = chosen.where("_aside").select("_t").mapInArrow(clean, "n bigint, s array<double>").collect()
+    return ToxicModel(model.token, model.score, drift, lam, _tail(np.array([s for r in got for s in r["s"]]), lam, sum(r["n"] for r in got)))
+
+
+def _tail(scores: np.ndarray, lam: float, n: int) -> float:
+    """K of the extreme-value law: segments of n clean words that reach the median score, carried back to score 0."""
+    least = float(np.median(scores)) if len(scores) else 0.0
+    return float(((scores >= least).sum() + 1) * np.exp(lam * least) / max(1, n))
 
 
 def _scan(col: pa.Array, m: ToxicModel) -> tuple[list[tuple[int, int, int, int, int, float]], np.ndarray]:
@@ -164,11 +229,14 @@ def find_toxic(docs: DataFrame, model: ToxicModel | None, *, id_col: str = "doc_
     document's length up to ``e_value``; doc_p_value is the extreme-value
     probability of the document's best one. Documents without any, null and
     empty texts, and all where there is no model, have no rows. Passages of
-    one document are disjoint and in order; rows that repeat are searched
-    each. Columns that clash with the result's are left out.
+    one document are disjoint and in order; of segments that tie the first
+    counts as the earlier passage. Rows that repeat are searched each, the
+    longest texts whole. Other columns, also such as are called like those
+    of the result, are left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    c = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    own = docs.select(c(id_col).alias("id"), c(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
