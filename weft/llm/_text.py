@@ -6,6 +6,7 @@ is no Python loop over rows or characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,3 +128,12 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.float64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def trim() -> None:
+    """Give memory that is free again back to the system; a worker that waits for its next task shouldn't hold it."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+    pa.default_memory_pool().release_unused()

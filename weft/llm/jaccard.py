@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._text import NOT_ALNUM, content, grams, hashes, mix, rows_of, slices, within, words
+from weft.llm._text import NOT_ALNUM, content, grams, hashes, mix, rows_of, slices, trim, within, words
 from weft.plans.graph import components
 from weft.plans.scratch import cut, table_path
 
 N, THRESHOLD = 3, 0.6
 BITS = 56
-#: Characters of text for a fragment, n-grams a flush of the first pass packs, n-grams for a fragment of a component, and its documents in a block.
-CHARS, FLUSH, SEGMENT, BLOCK = 10_000_000, 1 << 20, 1 << 22, 20000
+#: Fragments of the n-gram order in which overlaps are counted.
+PARTS = 3
+#: Bytes of text for a fragment of the first passes, n-grams that a flush packs, n-grams and documents in a block of a component.
+CHARS, FLUSH, SEGMENT, BLOCK = 10_000_000, 1 << 20, 1 << 21, 20000
 
 
 def document_grams(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +83,16 @@ def _cut_up(docs: DataFrame, n: int, fragments: int) -> DataFrame:
         r, g = r[order], g[order]
         edge = [(f << BITS) // fragments for f in range(fragments)]
         at = [*np.searchsorted(g, np.array(edge, np.uint64)), len(g)]
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[] for _ in range(7)]
         for f in range(fragments):
             lo, hi = int(at[f]), int(at[f + 1])
             if lo == hi:
                 continue
             own, local = np.unique(r[lo:hi], return_inverse=True)
             raw, width = _pack40(g[lo:hi])
-            for c, x in zip(out, (f, i[own].tobytes(), size[own].tobytes(), raw, width, local.astype(np.uint16).tobytes())):
+            for c, x in zip(out, (f, len(own), _zip(np.diff(i[own], prepend=np.int64(0))), _zip(size[own]), raw, width, local.astype(np.uint16).tobytes())):
                 c.append(x)
-        return pa.record_batch([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:4]), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())], names=["frag", "ids", "sizes", "grams", "width", "local"])
+        return pa.record_batch([pa.array(c, pa.int32() if k in (0, 1, 5) else pa.binary()) for k, c in enumerate(out)], names=["frag", "z", "ids", "sizes", "grams", "width", "local"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -114,58 +116,41 @@ def _cut_up(docs: DataFrame, n: int, fragments: int) -> DataFrame:
                     ids, rows, values, held, have = [], [], [], 0, 0
         if held:
             yield flush(ids, rows, values)
-
-    return docs.mapInArrow(run, "frag int, ids binary, sizes binary, grams binary, width int, local binary")
-
-
-def _frequencies(fragments: int):
-    """Second pass, a fragment at a time: document frequencies; n-grams of one document go, the rest return by document."""
-
-    def run(table: pa.Table) -> pa.Table:
-        frag = table["frag"][0].as_py()
-        ids, sizes, vals, docs, base = [], [], [], [], 0
-        for a, b, g, w, x in zip(*(table[c].to_pylist() for c in ("ids", "sizes", "grams", "width", "local"))):
-            ids.append(np.frombuffer(a, np.int64))
-            sizes.append(np.frombuffer(b, np.int32))
-            vals.append(_unpack40(g, w))
-            docs.append(np.frombuffer(x, np.uint16).astype(np.int32) + base)
-            base += len(ids[-1])
-        del table
-        each, which = np.unique(np.concatenate(ids), return_inverse=True)
-        size = np.zeros(len(each), np.int32)
-        np.maximum.at(size, which, np.concatenate(sizes))
-        g, d = np.concatenate(vals), which[np.concatenate(docs)].astype(np.int32)
-        del vals, docs
-        order = np.argsort(g)
+        trim()
+
+    return docs.mapInArrow(run, "frag int, z int, ids binary, sizes binary, grams binary, width int, local binary")
+
+
+def _frequencies(table: pa.Table) -> pa.Table:
+    """Second pass, a fragment at a time: document frequencies. n-grams of one document go; a row for each other (document, n-gram)."""
+    ids, sizes, vals, docs, base = [], [], [], [], 0
+    for z, a, b, g, w, x in zip(*(table[c].to_pylist() for c in ("z", "ids", "sizes", "grams", "width", "local"))):
+        ids.append(np.cumsum(_unzip(a, np.int64, z)))
+        sizes.append(_unzip(b, np.int32, z))
+        vals.append(_unpack40(g, w))
+        docs.append(np.frombuffer(x, np.uint16).astype(np.int32) + base)
+        base += z
+    del table
+    each, which = np.unique(np.concatenate(ids), return_inverse=True)
+    size = np.zeros(len(each), np.int32)
+    np.maximum.at(size, which, np.concatenate(sizes))
+    g, d = np.concatenate(vals), which[np.concatenate(docs)].astype(np.int32)
+    del vals, docs
+    order = np.argsort(g, kind="stable")
+    g, d = g[order], d[order]
+    if len(each) < base:  # rows that share an id
+        order = np.lexsort((d, g))
         g, d = g[order], d[order]
-        if len(each) < base:  # rows that share an id
-            order = np.lexsort((d, g))
-            g, d = g[order], d[order]
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-            g, d = g[new], d[new]
-        head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-        df = np.diff(np.append(head, len(g)))
-        del g
-        shared = df >= 2
-        ordinal = np.repeat(np.where(shared, np.cumsum(shared) - 1, -1), df)
-        keep = ordinal >= 0
-        ordinal, d, df = ordinal[keep].astype(np.uint32), d[keep], np.minimum(np.repeat(df, df)[keep], 65535).astype(np.uint16)
-        bucket = (each * np.int64(-7046029254386353131) >> 32) % fragments
-        order = np.argsort(bucket[d], kind="stable")
-        ordinal, d, df = ordinal[order], d[order], df[order]
-        at = np.searchsorted(bucket[d], np.arange(fragments + 1))
-        out: list[list] = [[] for _ in range(8)]
-        for b in range(fragments):
-            lo, hi = int(at[b]), int(at[b + 1])
-            if lo == hi:
-                continue
-            own, local = np.unique(d[lo:hi], return_inverse=True)
-            for c, x in zip(out, (b, frag, hi - lo, _zip(each[own]), _zip(size[own]), _zip(np.diff(ordinal[lo:hi], prepend=np.uint32(0))), _zip(local.astype(np.uint32)), _zip(df[lo:hi]))):
-                c.append(x)
-        return pa.table([pa.array(c, pa.int32()) for c in out[:3]] + [pa.array([len(x) for x in out[3]], pa.int32())] + [pa.array(c, pa.binary()) for c in out[3:]], names=["bucket", "frag", "m", "z", "ids", "sizes", "ordinals", "local", "dfs"])
-
-    return run
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+        g, d = g[new], d[new]
+    head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    df = np.repeat(np.diff(np.append(head, len(g))), np.diff(np.append(head, len(g)))).astype(np.int32)
+    keep = df > 1
+    d = d[keep]
+    out = pa.table([pa.array(each[d]), pa.array(size[d]), pa.array(g[keep].view(np.int64)), pa.array(df[keep])], names=["id", "n", "k", "df"])
+    trim()
+    return out
 
 
 def _need(n: np.ndarray, t: float) -> np.ndarray:
@@ -173,40 +158,44 @@ def _need(n: np.ndarray, t: float) -> np.ndarray:
 
 
 def _select(t: float):
-    """Third pass, a bucket of documents at a time: those that can have a partner, their shared n-grams and prefix."""
+    """Third pass, all rows of some documents at a time: those that can have a partner, their prefix, and their shared n-grams by fragment."""
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, sizes, keys, docs, dfs, base = [], [], [], [], [], 0
-        for f, m, a, s, o, x, q in zip(*(table[c].to_pylist() for c in ("frag", "m", "ids", "sizes", "ordinals", "local", "dfs"))):
-            local = _unzip(x, np.uint32, m)
-            k = int(local.max()) + 1
-            ids.append(_unzip(a, np.int64, k))
-            sizes.append(_unzip(s, np.int32, k))
-            keys.append((np.cumsum(_unzip(o, np.uint32, m), dtype=np.uint64)) | (np.uint64(f) << np.uint64(32)))
-            docs.append(local.astype(np.int64) + base)
-            dfs.append(_unzip(q, np.uint16, m))
-            base += k
-        each, which = np.unique(np.concatenate(ids), return_inverse=True)
-        size = np.zeros(len(each), np.int64)
-        np.maximum.at(size, which, np.concatenate(sizes))
-        d, key, df = which[np.concatenate(docs)], np.concatenate(keys), np.concatenate(dfs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        del got
+        each, first, d = np.unique(table["id"].to_numpy(), return_index=True, return_inverse=True)
+        size = table["n"].to_numpy()[first].astype(np.int64)
+        key, df = table["k"].to_numpy().view(np.uint64), table["df"].to_numpy()
+        del table
         shared = np.bincount(d, minlength=len(each))
         can = shared >= _need(size, t)  # an overlap of t times the size is the least for any partner
         ok = can[d]
         d, key, df = d[ok], key[ok], df[ok]
-        order = np.lexsort((key, df, d))
-        d, key = d[order], key[order]
-        at = np.searchsorted(d, np.arange(len(each) + 1))
-        out: list[list] = [[] for _ in range(6)]
+        by = np.lexsort((key, df, d))  # rarest first
+        rare = key[by]
+        order = np.lexsort((key, d))
+        key = key[order]
+        at = np.searchsorted(d[order], np.arange(len(each) + 1))
         spread = mix(key + np.uint64(1))
+        edge = np.array([(p << BITS) // PARTS for p in range(1, PARTS)], np.uint64)
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("m", pa.list_(pa.int32())), ("same", pa.int64()), ("prefix", pa.list_(pa.int64())), ("grams", pa.list_(pa.binary()))])
+        rows: list[list] = [[] for _ in range(6)]
         for x in np.flatnonzero(can):
             lo, hi = at[x], at[x + 1]
             whole = shared[x] == size[x]  # no n-gram of its own: may equal another document
-            own = np.sort(key[lo:hi])
-            prefix = key[lo : lo + shared[x] - _need(size[x : x + 1], t)[0] + 1]
-            for c, v in zip(out, (each[x], size[x], hi - lo, int(spread[lo:hi].sum().view(np.int64)) if whole else None, prefix.view(np.int64), _zip(np.diff(own, prepend=np.uint64(0))))):
+            parts = np.split(key[lo:hi], np.searchsorted(key[lo:hi], edge))
+            prefix = rare[lo : lo + shared[x] - _need(size[x : x + 1], t)[0] + 1]
+            for c, v in zip(rows, (each[x], size[x], [len(p) for p in parts], int(spread[lo:hi].sum().view(np.int64)) if whole else None, prefix.view(np.int64), [_zip(np.diff(p, prepend=np.uint64(0))) for p in parts])):
                 c.append(v)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.binary())], names=["id", "n", "m", "same", "prefix", "grams"])
+            if len(rows[0]) >= 2000:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
+                rows = [[] for _ in range(6)]
+        if rows[0]:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
+        trim()
 
     return run
 
@@ -219,19 +208,20 @@ def _spread(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 def _count(t: float):
-    """Fourth pass, one fragment of one block: partial overlaps of the pairs that share a prefix n-gram."""
+    """Fourth pass, one fragment of one block: partial overlaps of the pairs that share a prefix n-gram.
+
+    A pair goes on where the rest of its n-grams, all of them in common,
+    would bring it to the threshold.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         ids, size, side = table["id"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["side"].to_numpy()
-        parts, part = table["parts"][0].as_py(), table["part"][0].as_py()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        own = [np.cumsum(_unzip(g, np.uint64, m), dtype=np.uint64) for g, m in zip(table["grams"].to_pylist(), table["m"].to_pylist())]
-        if parts > 1:
-            own = [k[(k * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts == part] for k in own]
-        at = np.concatenate([[0], np.cumsum([len(k) for k in own])])
-        _, col = np.unique(np.concatenate(own), return_inverse=True)
-        del own
+        here, rest = table["m"].to_numpy().astype(np.int64), table["rest"].to_numpy().astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(here)])
+        _, col = np.unique(np.concatenate([np.cumsum(_unzip(g, np.uint64, m), dtype=np.uint64) for g, m in zip(table["grams"].to_pylist(), here.tolist())]), return_inverse=True)
+        col = col.astype(np.int32)
         first = table["prefix"].combine_chunks()
         first = first if isinstance(first, pa.Array) else first.chunk(0)
         of = np.repeat(np.arange(len(ids)), np.diff(first.offsets.to_numpy()))
@@ -245,101 +235,151 @@ def _count(t: float):
         mark, seen = np.zeros(int(col.max()) + 1 if len(col) else 1, bool), np.zeros(len(ids), bool)
         out: list[list] = [[] for _ in range(3)]
         for r in range(len(ids)):
+            if not here[r]:
+                continue
             where = by_row[row_at[r] : row_at[r + 1]]
-            later = post[_spread(where + 1, stop[where])]
-            if not len(later):
+            for some in np.array_split(where, max(1, int((stop[where] - where).sum()) >> 20)):
+                seen[post[_spread(some + 1, stop[some])]] = True
+            c = np.flatnonzero(seen[r + 1 :]) + r + 1
+            if not len(c):
                 continue
-            seen[later] = True
-            if len(later) * 8 < len(ids):
-                c = np.unique(later)
-            else:
-                c = np.flatnonzero(seen)
             seen[c] = False
-            good = (np.minimum(size[c], size[r]) >= t * np.maximum(size[c], size[r]) - 1e-9) & ((i == j) | (side[c] != side[r]))
-            c = c[good]
-            mine = col[at[r] : at[r + 1]]
-            if not len(c) or not len(mine):
+            c = c[(np.minimum(size[c], size[r]) >= t * np.maximum(size[c], size[r]) - 1e-9) & ((i == j) | (side[c] != side[r]))]
+            if not len(c):
                 continue
-            mark[mine] = True
-            hit = np.concatenate([[0], np.cumsum(mark[col[_spread(at[c], at[c + 1])]])])
-            mark[mine] = False
-            end = np.cumsum(at[c + 1] - at[c])
-            o = hit[end] - hit[end - (at[c + 1] - at[c])]
-            good = o >= t * (size[c] + size[r] - o) - 1e-9 if parts == 1 else o > 0
-            for x, v in zip(out, (np.full(int(good.sum()), r), c[good], o[good])):
-                x.append(v)
+            mark[col[at[r] : at[r + 1]]] = True
+            for some in np.array_split(c, max(1, int(here[c].sum()) >> 20)):
+                hit = np.concatenate([[0], np.cumsum(mark[col[_spread(at[some], at[some + 1])]])])
+                end = np.cumsum(here[some])
+                o = hit[end] - hit[end - here[some]]
+                best = o + np.minimum(rest[some], rest[r])
+                good = (o > 0) & (best >= t * (size[some] + size[r] - best) - 1e-9)
+                for x, v in zip(out, (np.full(int(good.sum()), r), some[good], o[good])):
+                    x.append(v)
+            mark[col[at[r] : at[r + 1]]] = False
         p, q, o = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out)
+        trim()
         return pa.table([pa.array(c, pa.int64()) for c in (ids[p], ids[q], size[p], size[q], o)], names=["a", "b", "na", "nb", "o"])
 
     return run
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of documents whose sets of word n-grams have a Jaccard similarity of ``threshold`` at least.
+def jaccard_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different texts whose sets of word n-grams have a Jaccard similarity of ``threshold`` at least, and membership.
 
     1. The global order of n-gram hashes is cut into fragments, in number
        with the corpus; each fragment counts document frequencies, and
        n-grams of one document alone go no further.
     2. A document can have a partner only if it shares ``threshold`` of its
-       n-grams with any others; the rest are dropped. Of those that stay, two
-       that reach the threshold have an n-gram in common among the rarest
-       ones of both (prefix filter over the order by frequency), so they
-       fall into one connected component of shared prefix n-grams.
-    3. Small components are gathered in groups; in one, the pairs that share
-       a prefix n-gram are counted. The n-grams of a large component are cut
-       into fragments again, each fragment counts the partial overlaps of
-       those pairs, and these are summed a pair. A component of over BLOCK
-       documents is dealt into blocks, every two blocks together, so that
-       nothing is left out.
+       n-grams with any others; the rest are dropped. Documents with equal
+       sets are a class, and the least id stands for it from here on.
+    3. Two documents that reach the threshold have an n-gram in common among
+       the rarest ones of both (prefix filter over the order by frequency),
+       so they fall into one connected component of shared prefix n-grams. A
+       component is one task's work, of over BLOCK documents or SEGMENT
+       n-grams it is dealt into blocks, every two blocks together.
+    4. The order is cut into PARTS fragments. In each fragment of each block
+       the partial overlaps of pairs that share a prefix n-gram are counted
+       on their own; a pair goes on where it could reach the threshold if
+       all its other n-grams were in common. The partial overlaps are summed
+       a pair.
     Up to collisions of 56-bit hashes the result is exact.
 
-    Documents with equal sets are joined once: they stand as copies of the
-    one with the least id. Result: (doc_id_a, doc_id_b, overlap, n_a, n_b,
-    jaccard, copies_a, copies_b) with a < b; copies are lists of all ids with
-    that set. A row with jaccard 1 lists one group of copies, a and b being
-    the least two, and both lists all of it. Ids are integers; rows with a
-    null id, and texts that are null or without words, have no pairs. A text
-    of fewer than n words is one n-gram. Rows that repeat an id are one
-    document. Other columns don't matter.
+    Returns (pairs, members): pairs (a, b, overlap, n_a, n_b, jaccard) of
+    class representatives, a < b; members (id, rep, n_copies) of every
+    document in a class of at least two. Rows with a null id, and texts that
+    are null or without words, are in neither. Ids are integers.
     """
     spark = docs.sparkSession
-    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
+    c = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    own = docs.where(c(id_col).isNotNull() & c(text_col).isNotNull()).select(c(id_col).cast("bigint").alias("i"), c(text_col).cast("string").alias("t"))
     chars = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    fragments = max(1, -(-chars // CHARS))
-    if fragments > 1:
-        fragments = max(fragments, 12)
-    cut_up = _cut_up(own, n, fragments).repartition(fragments, "frag")
-    by_doc = cut_up.groupBy("frag").applyInArrow(_frequencies(fragments), "bucket int, frag int, m int, z int, ids binary, sizes binary, ordinals binary, local binary, dfs binary")
-    chosen = by_doc.repartition(fragments, "bucket").groupBy("bucket").applyInArrow(_select(threshold), "id bigint, n int, m int, same bigint, prefix array<bigint>, grams binary")
+    fragments = max(12, -(-chars // CHARS))
+    packed = _cut_up(own, n, fragments).repartition(fragments, "frag")
+    shared = packed.groupBy("frag").applyInArrow(_frequencies, "id bigint, n int, k bigint, df int")
+    chosen = shared.repartition(fragments, "id").mapInArrow(_select(threshold), "id bigint, n int, m array<int>, same bigint, prefix array<bigint>, grams array<binary>")
     path = table_path(spark, "jaccard")
     chosen.write.parquet(path)
     chosen = spark.read.parquet(path)
-    copies = cut(chosen.where("same is not null").groupBy("n", "same").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1).select(F.element_at("ids", 1).alias("rep"), "n", "ids"))
-    later = copies.select(F.explode(F.slice("ids", 2, F.size("ids"))).alias("id"))
-    prefix = chosen.select("id", "prefix").join(later, "id", "left_anti").select("id", F.explode("prefix").alias("k"))
+    classes = cut(chosen.where("same is not null").groupBy("n", "same").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")).where("n_copies > 1"))
+    members = cut(chosen.where("same is not null").select("id", "n", "same").join(classes, ["n", "same"]).select("id", "rep", "n_copies"))
+    prefix = chosen.select("id", "prefix").join(members.where("id <> rep").select("id"), "id", "left_anti").select("id", F.explode("prefix").alias("k"))
     low = prefix.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
     edges = prefix.join(low, "k").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     label = cut(components(edges))
-    sized = label.join(label.join(chosen.select("id", "m"), "id").groupBy("label").agg(F.count("*").alias("s"), F.sum("m").alias("w")), "label")
-    placed = chosen.select("id", "n", "m", "prefix", "grams").join(sized, "id").withColumns({"d": F.ceil(F.col("s") / BLOCK).cast("int"), "parts": F.ceil(F.col("w") / F.ceil(F.col("s") / BLOCK) / SEGMENT).cast("int")}).withColumn("side", F.pmod(F.xxhash64("id"), F.col("d")).cast("int"))
-    dealt = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("d") - 1))).withColumns({"i": F.least("side", "k"), "j": F.greatest("side", "k"), "large": (F.col("d") > 1) | (F.col("parts") > 1)})
-    units = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("g", F.when(F.col("large"), F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(fragments))))
-    partial = units.select("large", "g", "i", "j", "part", "parts", "id", "n", "m", "side", "prefix", "grams").groupBy("large", "g", "i", "j", "part").applyInArrow(_count(threshold), "a bigint, b bigint, na bigint, nb bigint, o bigint")
+    weight = F.aggregate("m", F.lit(0), lambda x, y: x + y)
+    sized = label.join(label.join(chosen.select("id", weight.alias("w")), "id").groupBy("label").agg(F.count("*").alias("s"), F.sum("w").alias("w")), "label")
+    blocks = F.greatest(F.ceil(F.col("s") / BLOCK), F.ceil(F.col("w") / SEGMENT)).cast("int")
+    placed = chosen.select("id", "n", "m", "prefix", "grams").join(sized, "id").withColumn("d", blocks).withColumn("side", F.pmod(F.xxhash64("id"), F.col("d")).cast("int"))
+    dealt = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("d") - 1))).withColumns({"i": F.least("side", "k"), "j": F.greatest("side", "k"), "large": F.col("d") > 1})
+    units = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("g", F.when(F.col("large"), F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(fragments))))
+    here = F.element_at("m", F.col("part") + 1)
+    partial = units.select("large", "g", "i", "j", "part", "id", "n", here.alias("m"), (weight - here).alias("rest"), "side", "prefix", F.element_at("grams", F.col("part") + 1).alias("grams")).groupBy("large", "g", "i", "j", "part").applyInArrow(_count(threshold), "a bigint, b bigint, na bigint, nb bigint, o bigint")
     pairs = partial.groupBy("a", "b").agg(F.max("na").alias("n_a"), F.max("nb").alias("n_b"), F.sum("o").alias("overlap")).withColumn("jaccard", F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).where(F.col("jaccard") >= threshold - 1e-12)
-    a, b = (copies.select(F.col("rep").alias(x), F.col("ids").alias(f"copies_{x}")) for x in "ab")
-    near = pairs.join(a, "a", "left").join(b, "b", "left").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "overlap", "n_a", "n_b", "jaccard", F.coalesce("copies_a", F.array("a")).alias("copies_a"), F.coalesce("copies_b", F.array("b")).alias("copies_b"))
-    size = F.col("n").cast("bigint")
-    same = copies.select(F.col("rep").alias("doc_id_a"), F.element_at("ids", 2).alias("doc_id_b"), size.alias("overlap"), size.alias("n_a"), size.alias("n_b"), F.lit(1.0).alias("jaccard"), F.col("ids").alias("copies_a"), F.col("ids").alias("copies_b"))
-    return near.unionByName(same)
+    return cut(pairs.select("a", "b", "overlap", "n_a", "n_b", "jaccard")), members
+
+
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Similarity self-join, a row for each document that has a partner.
+
+    Result: (id_col, class_id, copy_of, n_copies, n_texts, n_links, nearest):
+    class_id is the least id of all documents that links connect with this
+    one, copy_of the least id with an equal set of n-grams (its own where
+    there is none less), n_copies how many documents have that set, n_texts
+    how many different sets reach the threshold with it, n_links how many
+    other documents do, copies counted each, and nearest the highest Jaccard
+    similarity to a different set, null where there is none. Links between
+    different texts one by one are those of jaccard_pairs().
+
+    A document without a partner has no row, nor has one with a null id, a
+    null text or a text without words. A text of fewer than n words is one
+    n-gram; the longest texts are taken whole. Rows that repeat an id are
+    taken for repeats of one row. Ties don't arise: ids are integers, and
+    the least one stands for equal texts. An empty table gives an empty one.
+    Other columns don't matter, whatever they are called.
+    """
+    pairs, members = jaccard_pairs(docs, id_col=id_col, text_col=text_col, n=n, threshold=threshold)
+    classes = members.where("id = rep").select("rep", "n_copies")
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "jaccard").union(pairs.select("b", "a", "jaccard"))
+    linked = both.join(classes.select(F.col("rep").alias("other"), F.col("n_copies").alias("c")), "other", "left").groupBy("rep").agg(F.count("*").alias("n_texts"), F.sum(F.coalesce("c", F.lit(1))).alias("links"), F.max("jaccard").alias("nearest"))
+    label = components(pairs.select("a", "b")).select(F.col("id").alias("rep"), "label")
+    texts = classes.join(linked, "rep", "full").join(label, "rep", "left")
+    texts = cut(texts.select("rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("links", F.lit(0)).alias("links"), "nearest"))
+    row = lambda i: [i.alias(id_col), F.col("class_id"), F.col("rep").alias("copy_of"), F.col("n_copies"), F.col("n_texts"), (F.col("links") + F.col("n_copies") - 1).alias("n_links"), F.col("nearest")]
+    alone = texts.where("n_copies = 1").select(*row(F.col("rep")))
+    return alone.unionByName(members.select("id", "rep").join(texts.where("n_copies > 1"), "rep").select(*row(F.col("id"))))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document, the one with the least id, of each group that jaccard_join() connects.
+    """docs with one document, the one with the least id, of each class that jaccard_join() connects.
 
-    Rows that have no pair stay, null ids and empty texts among them; of rows
-    that repeat an id all stay or all go.
+    Rows that have no partner stay, null ids and empty texts among them; of
+    rows that repeat an id all stay or all go. All columns stay as they are.
     """
-    pairs = cut(jaccard_join(docs, id_col=id_col, text_col=text_col, n=n, threshold=threshold))
-    star = pairs.select(F.col("doc_id_a").alias("a"), F.explode("copies_a").alias("b")).union(pairs.select(F.col("doc_id_b").alias("a"), F.explode("copies_b").alias("b")))
-    groups = components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).union(star).where("a <> b").distinct())
-    return docs.join(groups.where("id <> label").select(F.col("id").alias("_weft_gone")), F.col(id_col) == F.col("_weft_gone"), "left_anti")
+    found = jaccard_join(docs, id_col=id_col, text_col=text_col, n=n, threshold=threshold)
+    gone = found.select(F.col("`" + id_col.replace("`", "``") + "`").alias("g"), "class_id").where("g <> class_id")
+    return docs.join(gone.select("g"), docs["`" + id_col.replace("`", "``") + "`"] == F.col("g"), "left_anti")
+
+
+#: Word n-grams as DuckDB has them; links, classes by the least label that links carry, and a row for each linked document.
+SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {N - 2}), lambda k: array_to_string(w[k:k + {N - 1}], ' ')) END) AS g
+  FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT a, b, o / (x.n + y.n - o) AS j FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE o / (x.n + y.n - o) >= {THRESHOLD} - 1e-12
+), walk(id, label) AS (
+  SELECT DISTINCT a, a FROM p
+  UNION
+  SELECT p.b, walk.label FROM walk JOIN p ON p.a = walk.id
+), class AS (SELECT id, min(label) AS class_id FROM walk GROUP BY id),
+eq AS (SELECT a AS id, least(a, min(b)) AS copy_of, count(*) + 1 AS n_copies FROM p WHERE j = 1 GROUP BY a),
+rep AS (SELECT id, coalesce(copy_of, id) AS copy_of, coalesce(n_copies, 1) AS n_copies, class_id FROM class LEFT JOIN eq USING (id))
+SELECT r.id AS doc_id, r.class_id, r.copy_of, r.n_copies, count(DISTINCT s.copy_of) FILTER (WHERE p.j < 1) AS n_texts, count(*) AS n_links, max(p.j) FILTER (WHERE p.j < 1) AS nearest
+FROM rep r JOIN p ON p.a = r.id JOIN rep s ON s.id = p.b GROUP BY ALL
+"""
