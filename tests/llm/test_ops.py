@@ -11,15 +11,26 @@ from pyspark.sql import functions as F
 from weft.llm import audio, jaccard, langid, lines, mixing, pieces, quality, sharding, suffixes, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, position string, Shard int"
+#: Columns with names that the operators use themselves, with a dot, and of a kind that can't be hashed.
+CLASH = ["_part", "_key", "_all", "_src", "_ahead", "_local", "_gone", "_kept", "_weft_id", "_weft_text", "row", "id", "key", "part", "src", "all", "pos", "h", "gone", "new", "g", "y", "s", "print", "a.b", "tick`"]
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1) for i, t, s in rows], SCHEMA)
+    df = spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1) for i, t, s in rows], SCHEMA)
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASH}).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+
+
+def whole(df, columns=(*CLASH, "m")):
+    """Are the extra columns there with their own values?"""
+    quote = lambda c: "`" + c.replace("`", "``") + "`"
+    for r in df.select(*[F.col(quote(c)) for c in columns]).collect():
+        assert list(r) == [{"k": 1} if c == "m" else f"own {c}" for c in columns]
+    return True
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    """Nulls, blanks, a repeated row, equal texts and a very long one."""
+    """Nulls, blanks, a repeated row, equal texts and a very long one, with clashing columns."""
     long = " ".join(f"w{i % 977}x{i % 31}" for i in range(60000))
     rows = [(1, "the cat sat\nshared line\nthe end", "a"), (1, "the cat sat\nshared line\nthe end", "a"), (2, None, "a"), (3, "", None), (None, "the cat sat\nshared line\nno id", "b"), (4, "  \n\t ", "b"), (5, "the cat sat\nshared line\nthe end", "c"), (6, long, "c"), (7, "é ü 😀 ▁", "c")]
     return docs_of(spark, rows)
@@ -86,10 +97,11 @@ def test_audio(spark):
                 assert have.tolist() == want
             elif len(want):
                 up, down, h = audio.bank(8000, to)
-                x = np.pad(np.array(want, float), 16)
+                taps = h.shape[1]
+                x = np.pad(np.array(want, float), taps)
                 for n in range(0, len(have), 37):
                     t = n * down
-                    y = sum(h[t % up, k] * x[16 + t // up + k - 7] for k in range(16))
+                    y = sum(h[t % up, k] * x[taps + t // up + k - (taps // 2 - 1)] for k in range(taps))
                     assert abs(np.clip(y, -32768, 32767) - have[n]) <= 1
     assert audio.decode_telephony(df.limit(0)).count() == 0
 
@@ -145,15 +157,52 @@ def test_suffix_order_and_odd_rows(spark, odd):
     assert suffixes.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_splitters_and_pair_search():
+    from bisect import bisect_right
+
+    import pyarrow as pa
+
+    from weft.llm._text import pair_search
+
+    rng = np.random.default_rng(4)
+    lead, doc = rng.integers(0, 5, 300), rng.integers(0, 9, 300)
+    a, b = suffixes.splitters(pa.table({"lead": lead, "doc": doc}), 20)
+    pairs = list(zip(a.tolist(), b.tolist()))
+    assert pairs == sorted(pairs) and len(pairs) == 19
+    got = pair_search(a, b, lead.astype(np.uint64), doc)
+    assert got.tolist() == [bisect_right(pairs, x) for x in zip(lead.tolist(), doc.tolist())]
+
+
 def test_lines(spark, odd):
-    got = {(r.doc_id, r.text): (r.n_lines, r.n_dropped) for r in lines.dedup_lines(odd, most=1).collect()}
-    assert got[(5, "")] == (3, 3)
+    found = lines.dedup_lines(odd, most=1)
+    got = {(r.doc_id, r.text): (r.n_lines, r.n_dropped) for r in found.collect()}
+    assert got[(5, "")] == (3, 3) and whole(found)
     assert got[(1, "the cat sat\nshared line\nthe end")] == (3, 0)
     assert got[(2, None)] == (0, 0) and got[(3, "")] == (1, 0) and got[(None, "the cat sat\nshared line\nno id")] == (3, 0)
     assert lines.dedup_lines(odd, most=1, keep_first=False).where("doc_id = 1").first().text == ""
     assert lines.dedup_lines(odd, most=1).count() == 9 and lines.dedup_lines(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_lines_brute(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(lines, "BROADCAST", broadcast)
+    rng = np.random.default_rng(8)
+    pool = ["Alpha  beta", "alpha beta", "gamma", "", "delta ", "x", "\t"]
+    rows = [(int(i), "\n".join(pool[k] for k in rng.integers(0, 7, int(rng.integers(0, 9))))) for i in rng.integers(0, 12, 30)] + [(99, "\n".join(["gamma"] * 3000))]
+    norm = lambda x: re.sub("[ \t\r]+", " ", x).strip(" ").lower()
+    who = defaultdict(set)
+    for i, t in rows:
+        for x in t.split("\n"):
+            who[norm(x)].add(i)
+    want = []
+    for i, t in rows:
+        own = t.split("\n")
+        kept = [x for x in own if not norm(x) or len(who[norm(x)]) <= 4 or min(who[norm(x)]) == i]
+        want.append((i, "\n".join(kept), len(own), len(own) - len(kept)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(tuple(r) for r in lines.dedup_lines(df, most=4).collect()) == Counter(want)
+
+
 def _sets(rows, n):
     out = {}
     for i, x in rows:
@@ -164,10 +213,11 @@ def _sets(rows, n):
     return out
 
 
-@pytest.mark.parametrize("block,segment", [(20000, 1 << 22), (5, 200)])
-def test_jaccard(spark, documents, monkeypatch, block, segment):
+@pytest.mark.parametrize("block,segment,parts", [(20000, 1 << 21, 3), (5, 200, 3), (7, 1 << 21, 2)])
+def test_jaccard(spark, documents, monkeypatch, block, segment, parts):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "SEGMENT", segment)
+    monkeypatch.setattr(jaccard, "PARTS", parts)
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(80)]
@@ -179,25 +229,36 @@ def test_jaccard(spark, documents, monkeypatch, block, segment):
     rows += [(80000, None), (80001, ""), (80002, "One two"), (80003, "one, two!"), (None, " ".join(base))]
     sets = _sets(rows, 3)
     ids = sorted(sets)
-    want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    links = defaultdict(dict)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]):
+                links[a][b] = links[b][a] = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    root = {i: i for i in links}
+    for _ in links:
+        for a in links:
+            for b in links[a]:
+                root[a] = root[b] = min(root[a], root[b])
+    want = set()
+    for a, own in links.items():
+        equal = [b for b in own if sets[b] == sets[a]]
+        other = {frozenset(sets[b]): j for b, j in own.items() if sets[b] != sets[a]}
+        want.add((a, root[a], min([a, *equal]), len(equal) + 1, len(other), len(own), max(other.values(), default=None)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit(1)).withColumn("ids", F.lit(1))
-    have = set()
-    for r in jaccard.jaccard_join(df).collect():
-        assert r.overlap == len(sets[r.doc_id_a] & sets[r.doc_id_b]) and r.n_a == len(sets[r.doc_id_a])
-        have |= {(min(a, b), max(a, b)) for a in r.copies_a for b in r.copies_b if a != b}
-    assert have == want
+    assert {tuple(r) for r in jaccard.jaccard_join(df).collect()} == want
     kept = {r.doc_id for r in jaccard.drop_near_copies(df).collect()}
-    root = {i: i for i in ids}
-    for _ in ids:
-        for a, b in want:
-            root[a] = root[b] = min(root[a], root[b])
-    assert kept == {i for i in ids if root[i] == i} | {80000, 80001, None}
+    assert kept == {i for i, *_ in rows if i not in links or root[i] == i}
+    pairs, members = jaccard.jaccard_pairs(df)
+    rep = {i: i for i in links} | {r.id: r.rep for r in members.collect()}
+    assert {(r.a, r.b): r.overlap for r in pairs.collect()} == {(min(rep[a], rep[b]), max(rep[a], rep[b])): len(sets[a] & sets[b]) for a in links for b in links[a] if rep[a] != rep[b]}
 
 
 def test_jaccard_odd(spark, odd):
     got = jaccard.jaccard_join(odd).collect()
-    assert [(r.doc_id_a, r.doc_id_b, r.jaccard) for r in got] == [(1, 5, 1.0)]
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, 2, 0, 1, None), (5, 1, 1, 2, 0, 1, None)]
     assert jaccard.jaccard_join(odd.limit(0)).count() == 0
+    left = jaccard.drop_near_copies(odd)
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 1, 2, 3, 4, 6, 7] and whole(left)
 
 
 # --- mixing, sharding
@@ -222,7 +283,8 @@ def test_mixing(spark, odd, documents):
     for s in share:  # a source delivers the integral of its weight, up to a document
         assert 0 <= total[s] - want[s] * budget + 1 <= most + 1
     few = mixing.mix_sources(odd).collect()
-    assert len(few) >= 9 and {r.doc_id for r in few} == {1, 2, 3, None, 4, 5, 6, 7}
+    assert len(few) >= 9 and {r.doc_id for r in few} == {1, 2, 3, None, 4, 5, 6, 7} and whole(mixing.mix_sources(odd))
+    assert sum(r.doc_id == 1 and r.epoch == 0 for r in few) == 2 and len(few[0]) == len(odd.columns) + 2  # position is replaced
     assert mixing.mix_sources(odd.limit(0)).count() == 0
     half = mixing.mix_sources(documents, budget=n / 2).collect()
     assert len(half) < len(got)
@@ -238,8 +300,14 @@ def test_sharding(spark, odd, documents):
         assert r.row_number == order[r.doc_id] and (r.shard, r.slot) == sharding.locate(r.row_number, len(got), 64)
     few = sharding.shard_rows(odd, rows_per_shard=4)
     assert sorted(r.position for r in few.collect()) == list(range(9)) and few.columns.count("shard") == 1
+    assert whole(few)
     small, n = sharding.row_numbers(odd, rows_per_part=2)
-    assert sorted(r.row_number for r in small.collect()) == list(range(9))
+    assert sorted(r.row_number for r in small.collect()) == list(range(9)) and small.orderBy("row_number").first().doc_id is None
+    tied = spark.createDataFrame([(1 if i % 3 else None, str(i)) for i in range(400)] + [(i, "x") for i in range(40)], "doc_id int, t string")
+    rows = sharding.row_numbers(tied, rows_per_part=10)[0].orderBy("row_number").collect()
+    assert [r.row_number for r in rows] == list(range(440)) and [r.doc_id or -1 for r in rows] == sorted(r.doc_id or -1 for r in rows)
+    named = sharding.row_numbers(spark.createDataFrame([(x,) for x in "edcba"], "doc_id string"), rows_per_part=2)[0]
+    assert [r.doc_id for r in named.orderBy("row_number").collect()] == list("abcde")
     assert sharding.shard_rows(odd.limit(0)).count() == 0
 
 
@@ -247,22 +315,48 @@ def test_sharding(spark, odd, documents):
 
 
 def test_quality(spark, sf, odd, documents):
-    labels = spark.read.parquet(sf.replace("0.001", "0.01") + "/labels.parquet")
-    more = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
-    m = quality.train_quality(more, labels)
-    assert m.held_out["accuracy"] > 0.85
-    text = more.first().text
     from weft.llm._text import content
     import pyarrow as pa
 
-    data, off = content(pa.array([text, "", None, "a"]))
+    labels = spark.read.parquet(sf.replace("0.001", "0.01") + "/labels.parquet")
+    more = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    m = quality.train_quality(more, labels)
+    assert m.held_out["accuracy"] > 0.8 and m.held_out["brier"] < 0.2 and m.held_out["rows"] > 50
+    texts = [r.text for r in more.limit(30).collect()]
+    data, off = content(pa.array([*texts, "", None, "a"]))
     r, k, v = quality.features(data, off)
-    z = np.bincount(r, v * m.weights[k], 4) + m.bias
+    z = np.bincount(r, v * m.weights[k], len(texts) + 3) + m.bias
     assert np.allclose(z, quality.logits(data, off, m.weights, m.bias))
+    alone = [quality.logits(*content(pa.array([x])), m.weights, m.bias)[0] for x in texts]
+    assert quality.logits(data, off, m.weights, m.bias)[: len(texts)].tolist() == alone  # neighbours don't matter
     got = quality.score_quality(odd, m).collect()
     assert len(got) == 9 and sum(x.grade == "unknown" for x in got) == 1
+    same = {x.probability for x in got if x.doc_id in (1, 5)}
+    assert len(same) == 1
     assert {x.grade for x in quality.score_quality(odd, None).collect()} == {"unknown"}
-    assert quality.train_quality(odd, labels.limit(0)) is None
+    assert quality.train_quality(odd, labels.limit(0)) is None and quality.score_quality(odd.limit(0), m).count() == 0
+
+
+def test_quality_features_brute():
+    """A family's values are each n-gram's share, summed by bucket; the fit is at a minimum of its loss."""
+    from weft.llm._text import content
+    import pyarrow as pa
+
+    texts = ["ab ab é c", "", "x", "Ab ab\nab"]
+    r, k, v = quality.features(*content(pa.array(texts)))
+    for i, t in enumerate(texts):
+        w = t.split()
+        families = [Counter(tuple(x[j : j + n]) for j in range(len(x) - n + 1)) for x, orders in ((w, quality.WORD_ORDERS), (t, quality.CHAR_ORDERS)) for n in orders]
+        want = sorted(round(c / sum(f.values()), 6) for f in families for c in f.values())
+        assert sorted(np.round(v[r == i], 6).tolist()) == want
+    z = np.array([-2.0, -1.0, -0.5, 0.5, 1.0, 2.0, 0.1, -0.1])
+    y = np.array([0, 0, 1, 1, 1, 1, 0, 0])
+    a, c = quality._platt(z, y)
+    pos, neg = 4, 4
+    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    loss = lambda a, c: -(target * np.log(1 / (1 + np.exp(-(a * z + c)))) + (1 - target) * np.log(1 - 1 / (1 + np.exp(-(a * z + c))))).sum()
+    grid = min(loss(x, w) for x in np.linspace(0, 4, 81) for w in np.linspace(-2, 2, 81))
+    assert loss(a, c) <= grid + 1e-3
 
 
 def test_language(spark, odd, documents):
@@ -271,23 +365,59 @@ def test_language(spark, odd, documents):
     got = langid.identify_language(documents, m).join(documents.select("doc_id", "lang"), "doc_id")
     assert got.where("language = lang and accepted").count() >= 0.97 * documents.count()
     few = langid.identify_language(odd, m, keep_columns=True)
-    assert few.count() == 9 and few.where("doc_id = 2 or doc_id = 3").select("language", "accepted").distinct().collect() == [("und", False)]
-    assert langid.train_language(odd.limit(0)) is None
+    assert few.count() == 9 and few.where("doc_id = 2 or doc_id = 3").select("language", "accepted").distinct().collect() == [("und", False)] and whole(few)
+    assert len({r.score for r in few.where("doc_id in (1, 5)").collect()}) == 1
+    assert langid.train_language(odd.limit(0)) is None and langid.identify_language(odd.limit(0), m).count() == 0
     assert {r.language for r in langid.identify_language(odd, None).collect()} == {"und"}
 
 
+def test_language_brute(spark):
+    """Kernels of n-gram sets and ridge regression on them, with nothing hashed, folded or left out."""
+    rng = np.random.default_rng(9)
+    words = {"aa": ["lo", "mi", "nota", "per"], "bb": ["ska", "ikke", "nota", "og"], "cc": ["über", "das", "per", "ist"]}
+    rows = [(i, " ".join(rng.choice(words[lang], int(rng.integers(3, 12)))), lang) for i, lang in enumerate(np.repeat(list(words), 12).tolist())]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    m = langid.train_language(df, per_language=12, landmarks=4, ridge=1e-2)
+    grams = lambda t: {t[k : k + n] for n in langid.ORDERS for k in range(len(t) - n + 1)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
+    unit = {r.doc_id: r.u for r in df.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)).alias("u")).collect()}
+    mark, fit = [], []
+    for lang in sorted(words):
+        own = sorted((r for r in rows if r[2] == lang), key=lambda r: unit[r[0]])
+        mark += own[:4]
+        fit += [r for k, r in enumerate(own) if k < 4 or k % 5]
+    k_nm = np.array([[kernel(a[1], b[1]) for b in mark] for a in fit])
+    k_mm = np.array([[kernel(a[1], b[1]) for b in mark] for a in mark])
+    weigh = np.array([[1 / np.sqrt(sum(r[2] == a[2] for r in fit))] for a in fit])
+    target = np.array([[1.0 if a[2] == lang else -1.0 for lang in sorted(words)] for a in fit])
+    k_w = k_nm * weigh
+    alpha = np.linalg.solve(k_w.T @ k_w + 1e-2 * 3 * k_mm + 1e-8 * np.eye(len(mark)), k_w.T @ (target * weigh))
+    tests = ["lo mi nota", "das zzz qqq", "qq", "ska per og über"]
+    want = np.array([[kernel(t, b[1]) for b in mark] for t in tests]) @ alpha
+    got = langid.identify_language(spark.createDataFrame(list(enumerate(tests)), "doc_id int, text string"), m).orderBy("doc_id").collect()
+    for r, s, t in zip(got, want, tests):
+        if not any(grams(t) & grams(b[1]) for b in mark):
+            assert (r.language, r.score) == ("und", -1.0)
+        else:
+            assert r.language == sorted(words)[s.argmax()] and abs(r.score - s.max()) < 1e-9 and abs(r.margin - (np.sort(s)[-1] - np.sort(s)[-2])) < 1e-9
+
+
 def test_presence_kernel():
     import pyarrow as pa
 
     from weft.llm._text import content
 
-    texts = ["abcab", "bcabd", "xyz"]
-    data, off = content(pa.array(texts))
-    row, code = langid.codes(data, off)
-    sets = [{c for r, c in zip(row, code) if r == i} for i in range(3)]
+    texts = ["abcab", "bcabd", "xyz", "", "abca"]
     want = [{t[k : k + n] for n in langid.ORDERS for k in range(len(t) - n + 1)} for t in texts]
-    assert [len(s) for s in sets] == [len(w) for w in want]
-    assert len(sets[0] & sets[1]) == len(want[0] & want[1])
+    data, off = content(pa.array(texts))
+    s = langid.Spectrum(langid.codes(data[off[0] : off[1]], np.array([0, off[1]]))[1])
+    rows, cols, size = s.presence(data, off)
+    assert size.tolist() == [len(w) for w in want] and len(s.vocabulary) == len(want[0])
+    assert np.bincount(rows, minlength=5).tolist() == [len(want[0] & w) for w in want]
+    matrix = np.arange(2.0 * len(s.vocabulary)).reshape(-1, 2)
+    dense = np.zeros((5, len(s.vocabulary)))
+    dense[rows, cols] = 1
+    assert np.allclose(langid.product(rows, cols, 5, matrix), dense @ matrix)
 
 
 def _all_segments(x):
@@ -314,17 +444,76 @@ def test_segments():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
-def test_toxicity(spark, sf, odd):
+def test_toxicity_held_out(spark, sf, odd):
+    """Trained on one half of the texts, judged on the other."""
     big = sf.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
-    m = toxicity.train_toxicity(docs, labels)
-    hit = {r.doc_id for r in toxicity.find_toxic(docs, m).select("doc_id").distinct().collect()}
-    own = {r.doc_id: r.toxic for r in labels.collect()}
+    side = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2))
+    m = toxicity.train_toxicity(docs.where(side == 0), labels)
+    other = docs.where(side == 1)
+    hit = {r.doc_id for r in toxicity.find_toxic(other, m).select("doc_id").distinct().collect()}
+    own = {r.doc_id: r.toxic for r in other.join(labels, "doc_id").select("doc_id", "toxic").collect()}
     bad, good = [i for i, t in own.items() if t], [i for i, t in own.items() if not t]
     assert sum(i in hit for i in bad) >= 0.9 * len(bad)
     assert sum(i in hit for i in good) <= 0.005 * len(good)
     assert toxicity.find_toxic(odd, m).count() == 0 and toxicity.find_toxic(odd, None).count() == 0
-    assert toxicity.train_toxicity(odd, labels.limit(0)) is None
+    assert toxicity.train_toxicity(odd, labels.limit(0)) is None and toxicity.train_toxicity(odd.limit(0), labels) is None
+
+
+def test_toxicity_brute(spark):
+    """Scores, segments and E-values by hand on a small table, with repeats, ties and a very long text."""
+    rng = np.random.default_rng(6)
+    word = lambda: f"w{rng.integers(0, 60)}"
+    rows, labels = [], []
+    for i in range(90):
+        w = [word() for _ in range(30)]
+        if i < 24:
+            w[3], w[17] = "Vile", ("rotten" if i % 2 else "vile")
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i < 24)))
+    rows += [(i + 1000, rows[0][1]) for i in range(12)] + [(5, rows[5][1]), (None, "vile vile"), (2000, None), (2001, ""), (2002, "vile " + "w1 " * 50000 + "vile rotten")]
+    labels += [(i + 1000, 1) for i in range(12)] + [(5, 1), (None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("x"), "_t": F.lit(1), "a.b": F.lit(2)})
+    tagged = spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.train_toxicity(docs, tagged)
+    h = {r.doc_id: r.h for r in tagged.select("doc_id", F.xxhash64("doc_id", F.lit(13)).alias("h")).collect()}
+    toxic = {t for i, t in rows if i is not None and dict(labels).get(i) == 1}  # copies count once
+    clean = [t for i, t in rows[:90] if dict(labels)[i] == 0 and h[i] % 3]
+    assert len(toxic) == 24
+    y1, y0 = Counter(w for t in toxic for w in set(t.lower().split())), Counter(w for t in clean for w in set(t.lower().split()))
+    t1, t0 = sum(y1.values()), sum(y0.values())
+    size, a1, a0 = len({*y1, *y0}), t1 / (t1 + t0), t0 / (t1 + t0)
+    want = {}
+    for w in y1:
+        e = (y1[w] + y0[w]) * len(toxic) / (len(toxic) + len(clean))
+        g = 2 * (y1[w] * np.log(y1[w] / e) + (y0[w] * np.log(y0[w] / (y1[w] + y0[w] - e)) if y0[w] else 0))
+        if y1[w] > max(1, e) and np.sqrt(max(g, 0)) >= toxicity.LEAST_ROOT:
+            want[w] = ((y1[w] + a1) / (t1 + a1 * size), (y0[w] + a0) / (t0 + a0 * size))
+    assert set(want) >= {"vile", "rotten"}
+    assert np.allclose(sorted(m.score), sorted(np.log(q / p) for q, p in want.values()))
+    drift = np.log((1 - sum(q for q, _ in want.values())) / (1 - sum(p for _, p in want.values())))
+    assert np.isclose(m.drift, drift) and drift < 0
+    assert abs(sum(p * np.exp(m.lam * np.log(q / p)) for q, p in want.values()) + (1 - sum(p for _, p in want.values())) * np.exp(m.lam * drift) - 1) < 1e-6
+    score = {w: np.log(q / p) for w, (q, p) in want.items()}
+    aside, length = [], 0
+    for i, t in rows[:90]:
+        if dict(labels)[i] == 0 and h[i] % 3 == 0:
+            aside += [s for *_, s in _all_segments([score.get(w, drift) for w in t.lower().split()])]
+            length += len(t.split())
+    least = np.median(aside) if aside else 0.0
+    assert np.isclose(m.k, (sum(s >= least - 1e-12 for s in aside) + 1) * np.exp(m.lam * least) / length)
+    got = defaultdict(list)
+    for r in toxicity.find_toxic(docs, m, e_value=0.5).collect():
+        got[r.doc_id].append((r.passage_no, r.first_word, r.last_word, round(r.score, 6), round(r.e_value, 6), round(r.doc_p_value, 6), r.passage))
+    for i, t in rows:
+        w = (t or "").split()
+        x = [score.get(v.lower(), drift) for v in w]
+        found = toxicity.segments(np.flatnonzero(np.array(x) > 0), np.array([v for v in x if v > 0]), drift) if len(w) > 100 else _all_segments(x)
+        good = [(a, b, s, m.k * len(w) * np.exp(-m.lam * s)) for a, b, s in found]
+        good = [g for g in good if g[3] <= 0.5]
+        p = round(1 - np.exp(-min((g[3] for g in good), default=0)), 6)
+        mine = [(n, a, b, round(s, 6), round(e, 6), p, " ".join(w[a : b + 1])) for n, (a, b, s, e) in enumerate(good)]
+        assert sorted(got[i]) == sorted(mine * (2 if i == 5 else 1)), i
 
 
 # --- pieces
@@ -362,6 +551,39 @@ def test_pieces_against_library(spark, odd, documents):
     assert pieces.encode_pieces(odd, p, keep_columns=True).count() == 9 and pieces.encode_pieces(odd.limit(0), p).count() == 0
 
 
+def test_pieces_without_blanks(spark):
+    import base64
+    import time
+
+    p = pieces.build()
+    rng = np.random.default_rng(1)
+    texts = [base64.b64encode(rng.bytes(1500)).decode(), "".join(chr(x) for x in rng.integers(0x4E00, 0x9FFF, 900)), "a" * 2000, "日本 " + "é" * 700]
+    ordinary = np.array([len(x) > 0 for x in np.split(p.text, p.text_off[1:-1])])
+    total = lambda ids: float(np.where(np.isin(ids, p.byte_id), p.unknown / 3, p.score[ids]).astype(float).sum())
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        a, _ = pieces.viterbi(p, raw, np.array([0]), np.array([len(raw)]))
+        b = pieces.viterbi_long(p, raw, 0, len(raw))
+        assert ordinary[b].all() and len(a) == len(b) and abs(total(a) - total(b)) < 0.05
+    long = "".join(texts) * 40
+    began = time.time()
+    got = pieces.encode_pieces(spark.createDataFrame([(1, long), (2, "b"), (3, texts[0] + " and " + texts[1])], "doc_id int, text string"), p).collect()
+    assert all(r.round_trip for r in got) and time.time() - began < 60
+
+
+def test_resampling_takes_out_what_the_new_rate_cannot_hold():
+    t = np.arange(48000)
+    for rate, to in ((48000, 8000), (16000, 8000), (8000, 6000)):
+        high = (10000 * np.sin(2 * np.pi * 0.44 * t)).astype(np.int16)  # 0.44 of the old rate is beyond half of the new one
+        low = (10000 * np.sin(2 * np.pi * 0.05 * to / rate * t)).astype(np.int16)
+        y, off = audio.resample(np.concatenate([high, low]), np.array([0, 48000, 96000]), rate, to)
+        mid = slice(200, -200)
+        assert np.abs(y[off[0] : off[1]][mid]).max() < 150
+        k = np.arange(off[2] - off[1])
+        want = 10000 * np.sin(2 * np.pi * 0.05 * k)
+        assert np.abs(y[off[1] : off[2]][mid] - want[mid]).max() < 250
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
@@ -369,3 +591,53 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "ids", "n_tokens", "round_trip"]
     assert out.where("not round_trip").count() == 0 and out.count() > 150
+
+
+def test_pipeline_by_hand(spark, sf):
+    """Each stage against a plain version of it, on a table with odd rows; an empty table goes through too."""
+    import corpus_pipeline as cp
+
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    some = [tuple(r) for r in base.select(*cp.COLUMNS).collect()]
+    t = some[3][1]
+    shared = "one line that a dozen documents share word for word"
+    rows = some + [(9000 + k, f"{some[10 + k][1]}\n{shared}", some[10 + k][2], "src9", 1) for k in range(12)] + [(9100, t, some[3][2], None, 5), (9100, t, some[3][2], None, 5), (9101, None, "en", "a", None), (9102, "", None, "a", 0), (None, t + " and more", some[3][2], "b", 7), (9103, "?", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({"_part": F.lit(1), "a.b": F.lit(2)})
+    one = cp.identify(spark, docs, sf)
+    m = langid.train_language(docs)
+    yes = Counter((r.doc_id, r.text) for r in langid.identify_language(docs, m, keep_columns=True).where("accepted").collect())
+    kept = [tuple(r) for r in one.collect()]
+    assert one.columns == cp.COLUMNS and Counter((i, x) for i, x, *_ in kept) == yes and len(kept) > 0.95 * len(some)
+    assert not {9101, 9102} & {i for i, *_ in kept}
+    two = cp.dedup_lines(spark, one, sf)
+    norm = lambda x: re.sub("[ \t\r]+", " ", x).strip(" ").lower()
+    who = defaultdict(set)
+    for i, x, *_ in kept:
+        for line in x.split("\n") if i is not None else ():
+            who[norm(line)].add(i)
+    want = []
+    for i, x, lang, src, _ in kept:
+        own = x.split("\n")
+        left = [y for y in own if i is None or not norm(y) or len(who[norm(y)]) <= lines.MOST or min(who[norm(y)]) == i]
+        if len(left) == len(own) or "".join(left).strip():
+            want.append((i, "\n".join(left), lang, src, len("\n".join(left))))
+    assert Counter(tuple(r) for r in two.collect()) == Counter(want) and any(shared in x[1] for x in want) and sum(shared in x[1] for x in want) == 1
+    three = cp.drop_near(spark, two, sf)
+    sets = _sets([(i, x) for i, x, *_ in want], jaccard.N)
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])]
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    left = Counter(r for r in want if root.get(r[0], r[0]) == r[0])
+    assert Counter(tuple(r) for r in three.collect()) == left
+    four = cp.mix(spark, three, sf)
+    assert four.columns == cp.COLUMNS and set(map(tuple, four.collect())) == set(left)
+    five = cp.encode(spark, four, sf).collect()
+    back = {r.doc_id: r.text for r in pieces.decode_pieces(cp.encode(spark, four, sf), pieces.build()).collect()}
+    assert len(five) == four.count() and all(back[i] == x for i, x, *_ in left if i is not None and "▁" not in x)
+    none = docs.limit(0)
+    for _, stage in cp.STAGES:
+        none = stage(spark, none, sf)
+    assert none.count() == 0

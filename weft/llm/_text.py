@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
@@ -24,7 +26,7 @@ NOT_ALNUM = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` has about ``most`` bytes in each, and a row at least."""
+    """Cut batches so that ``column`` has about ``most`` bytes in each, a row at least, and 1 << 18 rows at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -32,7 +34,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22)
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(off, off[at] + most, "right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
+            to = min(max(to, at + 1), batch.num_rows, at + (1 << 18))
             yield batch.slice(at, to - at)
             at = to
 
@@ -123,13 +125,6 @@ def within(first: np.ndarray, n: int) -> np.ndarray:
     return row[: max(0, len(row) - n + 1)] == row[n - 1 :] if len(row) >= n else np.zeros(0, bool)
 
 
-def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of values[first[i]:first[i + 1]] for each i; zero where that is empty."""
-    total = np.zeros(len(values) + 1, np.float64)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
-
-
 def trim() -> None:
     """Give memory that is free again back to the system; a worker that waits for its next task shouldn't hold it."""
     try:
@@ -137,3 +132,49 @@ def trim() -> None:
     except (AttributeError, OSError):  # another C library
         pass
     pa.default_memory_pool().release_unused()
+
+
+def col(name: str) -> Column:
+    """The column of this very name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, like those given, that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, names: list[str]) -> tuple[list[Column], str]:
+    """Columns under the names c0, c1, ..., and their schema: mapInArrow() takes no names with dots. toDF() names them again."""
+    return [col(c).alias(f"c{k}") for k, c in enumerate(names)], ", ".join(f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that names of our own can't clash with theirs; unpack() takes it apart."""
+    return F.struct(*[col(c) for c in df.columns])
+
+
+def unpack(row: str, columns: list[str]) -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row; maps, which can't be hashed, count by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(col(f.name))) if "map<" in f.dataType.simpleString() else col(f.name) for f in df.schema])
+
+
+def pair_search(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the pairs (first, second), which are in order, come before or equal each (a, b)."""
+    lo, hi = np.searchsorted(first, a, "left"), np.searchsorted(first, a, "right")
+    out = hi.astype(np.int64)
+    tied = np.flatnonzero(lo < hi)
+    for x in np.unique(lo[tied]):
+        own = tied[lo[tied] == x]
+        out[own] = x + np.searchsorted(second[x : hi[own[0]]], b[own], "right")
+    return out

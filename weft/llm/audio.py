@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._text import content, slices
+from weft.llm._text import col, content, slices, trim
 
+#: Taps of the resampling filter at the lower of the two rates.
 TAPS = 16
 
 
@@ -81,11 +82,16 @@ def adpcm(data: np.ndarray, off: np.ndarray, block: int) -> tuple[np.ndarray, np
 
 
 def bank(rate: int, to: int) -> tuple[int, int, np.ndarray]:
-    """(up, down, filters): a Hann-windowed sinc for each of the up phases, each with sum 1."""
+    """(up, down, filters): a Hann-windowed sinc for each of the up phases, each with sum 1.
+
+    The window is TAPS samples of the lower rate wide, so a filter that goes
+    down in rate is as many times longer as the rates differ, and what lies
+    above half the new rate is taken out.
+    """
     g = gcd(rate, to)
     up, down = to // g, rate // g
     cut = min(1.0, to / rate)
-    half = TAPS // 2
+    half = -(-TAPS * max(rate, to) // (2 * to)) if rate > to else TAPS // 2
     x = np.arange(-half + 1, half + 1)[None, :] - np.arange(up)[:, None] / up
     h = cut * np.sinc(cut * x) * (0.5 + 0.5 * np.cos(np.pi * x / half))
     h[np.abs(x) >= half] = 0
@@ -101,11 +107,12 @@ def resample(pcm: np.ndarray, off: np.ndarray, rate: int, to: int) -> tuple[np.n
     if rate == to:
         return pcm, off
     up, down, h = bank(rate, to)
+    taps = h.shape[1]
     n = np.diff(off)
-    slot = -(-(n + TAPS) // down) * down
+    slot = -(-(n + taps) // down) * down
     base = np.concatenate([[0], np.cumsum(slot)])
-    lead = TAPS // 2 - 1
-    x = np.zeros(int(base[-1]) + 2 * TAPS, np.float32)
+    lead = taps // 2 - 1
+    x = np.zeros(int(base[-1]) + 2 * taps + down, np.float32)
     inside = np.arange(len(pcm)) + np.repeat(base[:-1] - off[:-1], n) + lead
     x[inside] = pcm
     full = int(base[-1]) * up // down
@@ -114,7 +121,7 @@ def resample(pcm: np.ndarray, off: np.ndarray, rate: int, to: int) -> tuple[np.n
         m = (full - r + up - 1) // up
         start, phase = r * down // up, r * down % up
         acc = np.zeros(m, np.float32)
-        for k in range(TAPS):
+        for k in range(taps):
             if h[phase, k]:
                 acc += h[phase, k] * x[start + k : start + k + (m - 1) * down + 1 : down]
         np.rint(acc, out=acc)
@@ -141,7 +148,10 @@ def _chunk(batch: pa.RecordBatch, to: int, block: int) -> pa.RecordBatch:
     parts = [where.get(i, (empty, 0, 0)) for i in range(n)]
     count = np.array([b - a for _, a, b in parts], np.int64)
     values = np.concatenate([p[a:b] for p, a, b in parts]) if n else empty
-    off = np.concatenate([[0], np.cumsum(2 * count)]).astype(np.int32)
+    off = np.concatenate([[0], np.cumsum(2 * count)])
+    if off[-1] >= 1 << 31:
+        raise ValueError("a call has over 2 GB of PCM")
+    off = off.astype(np.int32)
     mask = pa.array(given)
     bits = mask.buffers()[1]
     pcm = pa.Array.from_buffers(pa.binary(), n, [bits, pa.py_buffer(off), pa.py_buffer(values.astype("<i2", copy=False))])
@@ -162,17 +172,20 @@ def decode_telephony(df: DataFrame, *, id_col: str = "doc_id", codec_col: str =
     each row. status is ``ok``; ``missing`` where the payload is null; or
     ``unsupported`` where codec or rate is null, unknown or not positive; in
     the last two pcm and n_samples are null. An empty payload gives empty
-    pcm. Repeated rows and null ids stay as they are; other columns, also
-    such as are called like those of the result, are left out.
+    pcm. Repeated rows and null ids stay as they are, and an empty table
+    gives an empty one; there are no ties. A call is decoded whole, up to the
+    2 GB of PCM that a cell holds, beyond which it is an error. Other
+    columns, also such as are called like those of the result, are left out.
     """
     if block < 5:
         raise ValueError("a block has 4 bytes of header and some of codes")
     kind = df.schema[id_col].dataType.simpleString()
-    own = df.select(F.col(id_col).alias("id"), F.col(codec_col).cast("string").alias("codec"), F.col(rate_col).cast("int").alias("rate"), F.col(payload_col).cast("binary").alias("payload"))
+    own = df.select(col(id_col).alias("id"), col(codec_col).cast("string").alias("codec"), col(rate_col).cast("int").alias("rate"), col(payload_col).cast("binary").alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "payload", 1 << 20):
             yield _chunk(part, to_rate, block)
+        trim()
 
     return own.mapInArrow(run, f"id {kind}, codec string, status string, sample_rate int, n_samples bigint, pcm binary").withColumnRenamed("id", id_col)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._text import NOT_ALNUM, content, grams, hashes, mix, rows_of, slices, trim, within, words
+from weft.llm._text import NOT_ALNUM, col, content, fresh, grams, hashes, mix, rows_of, slices, trim, within, words
 from weft.plans.graph import components
 from weft.plans.scratch import cut, table_path
 
@@ -146,7 +146,8 @@ def _frequencies(table: pa.Table) -> pa.Table:
         g, d = g[new], d[new]
     head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
     df = np.repeat(np.diff(np.append(head, len(g))), np.diff(np.append(head, len(g)))).astype(np.int32)
-    keep = df > 1
+    keep = np.flatnonzero(df > 1)
+    keep = keep[np.argsort(d[keep], kind="stable")]  # a document's rows stand together, which packs well
     d = d[keep]
     out = pa.table([pa.array(each[d]), pa.array(size[d]), pa.array(g[keep].view(np.int64)), pa.array(df[keep])], names=["id", "n", "k", "df"])
     trim()
@@ -220,8 +221,8 @@ def _count(t: float):
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         here, rest = table["m"].to_numpy().astype(np.int64), table["rest"].to_numpy().astype(np.int64)
         at = np.concatenate([[0], np.cumsum(here)])
-        _, col = np.unique(np.concatenate([np.cumsum(_unzip(g, np.uint64, m), dtype=np.uint64) for g, m in zip(table["grams"].to_pylist(), here.tolist())]), return_inverse=True)
-        col = col.astype(np.int32)
+        _, gram = np.unique(np.concatenate([np.cumsum(_unzip(g, np.uint64, m), dtype=np.uint64) for g, m in zip(table["grams"].to_pylist(), here.tolist())]), return_inverse=True)
+        gram = gram.astype(np.int32)
         first = table["prefix"].combine_chunks()
         first = first if isinstance(first, pa.Array) else first.chunk(0)
         of = np.repeat(np.arange(len(ids)), np.diff(first.offsets.to_numpy()))
@@ -232,7 +233,7 @@ def _count(t: float):
         stop = np.searchsorted(key, key, "right")
         by_row = np.argsort(post, kind="stable")
         row_at = np.searchsorted(post[by_row], np.arange(len(ids) + 1))
-        mark, seen = np.zeros(int(col.max()) + 1 if len(col) else 1, bool), np.zeros(len(ids), bool)
+        mark, seen = np.zeros(int(gram.max()) + 1 if len(gram) else 1, bool), np.zeros(len(ids), bool)
         out: list[list] = [[] for _ in range(3)]
         for r in range(len(ids)):
             if not here[r]:
@@ -247,16 +248,16 @@ def _count(t: float):
             c = c[(np.minimum(size[c], size[r]) >= t * np.maximum(size[c], size[r]) - 1e-9) & ((i == j) | (side[c] != side[r]))]
             if not len(c):
                 continue
-            mark[col[at[r] : at[r + 1]]] = True
+            mark[gram[at[r] : at[r + 1]]] = True
             for some in np.array_split(c, max(1, int(here[c].sum()) >> 20)):
-                hit = np.concatenate([[0], np.cumsum(mark[col[_spread(at[some], at[some + 1])]])])
+                hit = np.concatenate([[0], np.cumsum(mark[gram[_spread(at[some], at[some + 1])]])])
                 end = np.cumsum(here[some])
                 o = hit[end] - hit[end - here[some]]
                 best = o + np.minimum(rest[some], rest[r])
                 good = (o > 0) & (best >= t * (size[some] + size[r] - best) - 1e-9)
                 for x, v in zip(out, (np.full(int(good.sum()), r), some[good], o[good])):
                     x.append(v)
-            mark[col[at[r] : at[r + 1]]] = False
+            mark[gram[at[r] : at[r + 1]]] = False
         p, q, o = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out)
         trim()
         return pa.table([pa.array(c, pa.int64()) for c in (ids[p], ids[q], size[p], size[q], o)], names=["a", "b", "na", "nb", "o"])
@@ -291,8 +292,7 @@ def jaccard_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     are null or without words, are in neither. Ids are integers.
     """
     spark = docs.sparkSession
-    c = lambda name: F.col("`" + name.replace("`", "``") + "`")
-    own = docs.where(c(id_col).isNotNull() & c(text_col).isNotNull()).select(c(id_col).cast("bigint").alias("i"), c(text_col).cast("string").alias("t"))
+    own = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).cast("bigint").alias("i"), col(text_col).cast("string").alias("t"))
     chars = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     fragments = max(12, -(-chars // CHARS))
     packed = _cut_up(own, n, fragments).repartition(fragments, "frag")
@@ -357,8 +357,9 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows that repeat an id all stay or all go. All columns stay as they are.
     """
     found = jaccard_join(docs, id_col=id_col, text_col=text_col, n=n, threshold=threshold)
-    gone = found.select(F.col("`" + id_col.replace("`", "``") + "`").alias("g"), "class_id").where("g <> class_id")
-    return docs.join(gone.select("g"), docs["`" + id_col.replace("`", "``") + "`"] == F.col("g"), "left_anti")
+    (name,) = fresh(docs, "_weft_gone")
+    gone = found.where(col(id_col) != F.col("class_id")).select(col(id_col).alias(name))
+    return docs.join(gone, col(id_col) == col(name), "left_anti")
 
 
 #: Word n-grams as DuckDB has them; links, classes by the least label that links carry, and a row for each linked document.

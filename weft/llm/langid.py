@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm._text import content, grams, mix, slices, within
+from weft.llm._text import col, content, grams, mix, numbered, slices, trim, within
 
 ORDERS = (2, 3, 4)
-SLOTS = 21
+#: Bits of an n-gram's hash by which it is compared, and by which it is looked up.
+SHORT, SLOTS = 44, 21
 #: A text is accepted where the best one-versus-rest score reaches LEAST and leads the next by LEAD.
 LEAST, LEAD = -0.25, 0.15
 
@@ -41,32 +42,46 @@ def codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spectrum:
-    """n-grams of at least two landmarks, one for each hash slot: the features the kernels see."""
+    """The n-grams of the landmarks, compared by SHORT-bit hashes, and a table of slots to look them up."""
 
     def __init__(self, vocabulary: np.ndarray) -> None:
-        slot = (vocabulary >> np.uint64(64 - SLOTS)).astype(np.int64)
-        _, keep = np.unique(slot, return_index=True)
-        self.vocabulary = vocabulary[np.sort(keep)]
-        slot = (self.vocabulary >> np.uint64(64 - SLOTS)).astype(np.int64)
-        self.index = np.zeros(1 << SLOTS, np.int32)
-        self.code = np.zeros(1 << SLOTS, np.uint64)
-        self.index[slot] = np.arange(len(slot))
-        self.code[slot] = self.vocabulary
-
-    def presence(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(first row, presence matrix) of blocks of rows; every n-gram of the texts is looked up."""
+        self.vocabulary = np.unique(vocabulary >> np.uint64(64 - SHORT))
+        slot = (self.vocabulary >> np.uint64(SHORT - SLOTS)).astype(np.int64)
+        self.start = np.searchsorted(slot, np.arange((1 << SLOTS) + 1)).astype(np.int32)
+        self.some = np.diff(self.start) > 0
+        self.most = int(np.diff(self.start).max())
+
+    def presence(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sparse presence matrix of texts (rows, columns, sorted by row), and how many distinct n-grams each text has in all."""
+        n = len(off) - 1
         row, code = codes(data, off)
-        slot = (code >> np.uint64(64 - SLOTS)).astype(np.int64)
-        hit = self.code[slot] == code
-        row, col = row[hit], self.index[slot[hit]]
-        order = np.argsort(row, kind="stable")
-        row, col = row[order], col[order]
-        block = max(1, (1 << 23) // max(1, len(self.vocabulary)))
-        for at in range(0, len(off) - 1, block):
-            lo, hi = np.searchsorted(row, [at, at + block])
-            x = np.zeros((min(block, len(off) - 1 - at), len(self.vocabulary)), np.float32)
-            x[row[lo:hi] - at, col[lo:hi]] = 1
-            yield at, x
+        if n >= 1 << (64 - SHORT):
+            raise ValueError("too many rows in a slice")
+        key = np.sort((row.astype(np.uint64) << np.uint64(SHORT)) | (code >> np.uint64(64 - SHORT)))
+        if len(key):
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        row = (key >> np.uint64(SHORT)).astype(np.int64)
+        size = np.bincount(row, minlength=n)
+        key &= np.uint64((1 << SHORT) - 1)
+        slot = (key >> np.uint64(SHORT - SLOTS)).astype(np.int64)
+        own = np.flatnonzero(self.some[slot])
+        at = np.full(len(own), -1)
+        place, end = self.start[slot[own]].astype(np.int64), self.start[slot[own] + 1]
+        for _ in range(self.most):
+            hit = (place < end) & (self.vocabulary[np.minimum(place, len(self.vocabulary) - 1)] == key[own])
+            at[hit] = place[hit]
+            place += 1
+        known = at >= 0
+        return row[own[known]], at[known], size
+
+
+def product(rows: np.ndarray, cols: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
+    """A sparse presence matrix of n rows times a dense matrix."""
+    out = np.zeros((n, matrix.shape[1]), matrix.dtype)
+    if len(rows):
+        head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        out[rows[head]] = np.add.reduceat(matrix[cols], head, axis=0)
+    return out
 
 
 @dataclass(frozen=True)
@@ -77,69 +92,58 @@ class LanguageModel:
     held_out: dict
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """One-versus-rest scores; -1 throughout where no n-gram is known."""
-        out = np.full((len(off) - 1, len(self.languages)), -1.0)
-        for at, x in self.spectrum.presence(data, off):
-            own = x.sum(1)
-            s = (x @ self.matrix) / np.sqrt(np.maximum(own, 1))[:, None]
-            s[own == 0] = -1
-            out[at : at + len(x)] = s
+        """One-versus-rest scores of a batch of texts by one matrix product; -1 throughout where no n-gram is known."""
+        rows, cols, size = self.spectrum.presence(data, off)
+        out = product(rows, cols, len(off) - 1, self.matrix) / np.sqrt(np.maximum(size, 1))[:, None]
+        out[np.bincount(rows, minlength=len(off) - 1) == 0] = -1
         return out
 
 
 def train_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, landmarks: int = 32, ridge: float = 1e-3) -> LanguageModel | None:
     """Fit on at most ``per_language`` labelled rows of each language, the first by a hash of the id.
 
-    The first ``landmarks`` rows of each language are Nyström landmarks; a
-    fifth of the other rows is held out for the accuracy in held_out. None
-    where there is no labelled text.
+    The kernel of two texts is the number of n-grams that both have, of all
+    orders together, over the geometric mean of how many either has. The
+    first ``landmarks`` rows of each language are Nyström landmarks, whose
+    n-grams are all kept; kernel ridge regression, each language against
+    the rest, is solved on them. As scores are linear in presence, kernels
+    and coefficients fold into one weight a language for each n-gram. A
+    fifth of the other rows is held out for the accuracy in held_out. Rows
+    without id, text or language are left out; ties in the hash go by id and
+    text. None where there is no labelled text.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r["_l"]: r["n"] for r in labelled.groupBy(F.col(lang_col).cast("string").alias("_l")).agg(F.count("*").alias("n")).collect()}
+    labelled = docs.where(col(lang_col).isNotNull() & col(id_col).isNotNull() & (F.length(col(text_col)) > 0)).select(col(id_col).alias("_id"), col(lang_col).cast("string").alias("_l"), col(text_col).cast("string").alias("_t"))
+    counts = {r["_l"]: r["n"] for r in labelled.groupBy("_l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, (2 * per_language + 200) / n)))])
-    unit = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    ids = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_l"), F.col(text_col).alias("_t"), unit.alias("_u")).where(F.col("_u") < share[F.col("_l")])
-    parts = [ids.where(F.col("_l") == k).orderBy("_u", "_id", "_t").limit(per_language) for k in sorted(counts)] if len(counts) <= 8 else None
-    if parts is None:
-        from pyspark.sql import Window
-
-        taken = ids.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_u", "_id", "_t"))).where(F.col("_n") <= per_language)
-    else:
-        taken = parts[0]
-        for p in parts[1:]:
-            taken = taken.unionByName(p)
-    got = taken.select("_l", "_u", "_t").toArrow().sort_by([("_l", "ascending"), ("_u", "ascending")])
-    lang = np.array(got["_l"].to_pylist())
+    unit = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = labelled.withColumn("_u", unit).where(F.col("_u") < share[F.col("_l")])  # some 2 * per_language + 200 rows of each
+    taken = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_u", "_id", "_t"))).where(F.col("_n") <= per_language)
+    got = taken.select("_l", "_n", "_t").toArrow().sort_by([("_l", "ascending"), ("_n", "ascending")])
     names = sorted(counts)
-    y = np.array([names.index(x) for x in lang])
-    rank = np.concatenate([np.arange((y == c).sum()) for c in range(len(names))])
+    y = np.searchsorted(np.array(names), np.array(got["_l"].to_pylist()))
+    rank = got["_n"].to_numpy() - 1
     mark, held = rank < landmarks, (rank >= landmarks) & (rank % 5 == 0)
-    data, off = content(pa.array(got["_t"].to_pylist(), pa.large_string()))
-    own = [codes(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))[1] for i in np.flatnonzero(mark)]
-    vocabulary, df = np.unique(np.concatenate([np.unique(c) for c in own]), return_counts=True)
-    del own
-    spectrum = Spectrum(vocabulary[df >= 2] if (df >= 2).any() else vocabulary)
-
-    def presence(rows: np.ndarray) -> Iterator[np.ndarray]:
-        """Rows of the normalised presence matrix, a few at a time."""
-        for some in np.array_split(rows, max(1, len(rows) // 32)):
-            size = off[some + 1] - off[some]
-            for _, x in spectrum.presence(np.concatenate([data[off[i] : off[i + 1]] for i in some]), np.concatenate([[0], np.cumsum(size)])):
-                yield x / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-
-    at_mark = np.concatenate(list(presence(np.flatnonzero(mark))))
-    k_nm = np.concatenate([x @ at_mark.T for x in presence(np.flatnonzero(~held))]).astype(np.float64)
-    k_mm = (at_mark @ at_mark.T).astype(np.float64)
-    target = np.where(y[~held][:, None] == np.arange(len(names)), 1.0, -1.0)
-    weigh = 1 / np.sqrt(np.bincount(y[~held], minlength=len(names)))[y[~held]][:, None]
-    a = (k_nm * weigh).T @ (k_nm * weigh) + ridge * len(names) * k_mm + 1e-8 * np.eye(len(k_mm))
-    alpha = np.linalg.solve(a, (k_nm * weigh).T @ (target * weigh))
-    matrix = (at_mark.T @ alpha).astype(np.float32)
-    model = LanguageModel(names, spectrum, matrix, {})
+    data, off = content(got["_t"].cast(pa.large_string()).combine_chunks())
+    text = lambda i: (data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
+    spectrum = Spectrum(np.unique(np.concatenate([np.unique(codes(*text(i))[1]) for i in np.flatnonzero(mark)] or [np.zeros(0, np.uint64)])))
+    if not len(spectrum.vocabulary):
+        return None
+    own = [spectrum.presence(*text(i)) for i in range(len(y))]
+    at_mark = np.zeros((len(spectrum.vocabulary), int(mark.sum())), np.uint8)
+    for j, i in enumerate(np.flatnonzero(mark)):
+        at_mark[own[i][1], j] = 1
+    size = np.array([max(1, x[2][0]) for x in own], np.float64)
+    kernel = np.stack([at_mark[x[1]].sum(0, dtype=np.int64) for x in own]) / np.sqrt(size[:, None] * size[mark][None, :])
+    fit = ~held
+    target = np.where(y[fit][:, None] == np.arange(len(names)), 1.0, -1.0)
+    weigh = 1 / np.sqrt(np.bincount(y[fit], minlength=len(names)))[y[fit]][:, None]
+    k_nm, k_mm = kernel[fit] * weigh, kernel[mark]
+    alpha = np.linalg.solve(k_nm.T @ k_nm + ridge * len(names) * k_mm + 1e-8 * np.eye(len(k_mm)), k_nm.T @ (target * weigh))
+    model = LanguageModel(names, spectrum, at_mark @ (alpha / np.sqrt(size[mark])[:, None]), {})
     if held.any():
-        model.held_out.update(rows=int(held.sum()), accuracy=float((np.concatenate([(x @ matrix).argmax(1) for x in presence(np.flatnonzero(held))]) == y[held]).mean()))
+        model.held_out.update(rows=int(held.sum()), accuracy=float(((kernel[held] @ alpha).argmax(1) == y[held]).mean()))
     return model
 
 
@@ -153,27 +157,30 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, *, id_col: s
     shares no n-gram with the landmarks, and any text where there is no
     model have language ``und``, score -1, margin 0 and aren't accepted.
     With one language alone the margin is the score plus 1. Ties go to the
-    first language in order. Rows that repeat are scored each.
+    first language in order. Rows that repeat are scored each, the longest
+    texts whole; an empty table gives an empty one.
     """
     added = ["language", "score", "margin", "accepted"]
     kept = [c for c in docs.columns if c.lower() not in added] if keep_columns else [id_col]
-    own = docs.select(*[docs[c] for c in kept], docs[text_col].cast("string").alias("_weft_text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", language string, score double, margin double, accepted boolean"
+    columns, kinds = numbered(docs, kept)
+    own = docs.select(*columns, col(text_col).cast("string").alias("text"))
+    schema = f"{kinds}, language string, score double, margin double, accepted boolean"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for part in slices(batches, "_weft_text", 1 << 20):
+        for part in slices(batches, "text", 1 << 20):
             n = part.num_rows
             if m is None:
                 best, top, lead = np.zeros(n, int), np.full(n, -1.0), np.zeros(n)
             else:
-                s = m.scores(*content(part.column("_weft_text")))
+                s = m.scores(*content(part.column(len(kept))))
                 best, top = s.argmax(1), s.max(1)
                 lead = top - np.partition(s, -2, axis=1)[:, -2] if s.shape[1] > 1 else top + 1
             known = top > -1
             names = np.array([*(m.languages if m else []), "und"], dtype=object)[np.where(known, best, -1)]
             yes = known & (top >= LEAST) & (lead >= LEAD)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(names, pa.string()), pa.array(top), pa.array(np.where(known, lead, 0.0)), pa.array(yes)], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(names, pa.string()), pa.array(top), pa.array(np.where(known, lead, 0.0)), pa.array(yes)], names=[*(f"c{i}" for i in range(len(kept))), *added])
+        trim()
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).toDF(*kept, *added)

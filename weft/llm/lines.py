@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._text import col, whole_row
+from weft.plans.scratch import cut
+
 #: A line in more documents than this is boilerplate.
 MOST = 10
+#: Shared lines that go to every task, 16 bytes each.
+BROADCAST = 1_000_000
 
 
 def normal(line: Column) -> Column:
@@ -29,27 +34,37 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Blank lines are neither counted nor dropped; what stays is joined again
     by position, and a text that loses nothing is as it was.
 
-    Result: the columns of docs with the new text, then n_lines and
-    n_dropped (columns of docs that are called so are replaced). A null text
-    stays null with no lines; a row with a null id isn't counted and keeps
-    all its lines. A document that loses every line has an empty text.
+    Result: the columns of docs, whatever they are called, with the new
+    text, then n_lines and n_dropped (columns of docs that are called so are
+    replaced). A null text stays null with no lines; a row with a null id
+    isn't counted and keeps all its lines. A document that loses every line
+    has an empty text. The longest texts are taken whole, in time that grows
+    with their lines; rows with one id and different texts keep theirs
+    apart; there are no ties but of ids, and an empty table gives an empty
+    one.
+
+    Texts are cut into lines once, and the hashes kept in the shared folder.
+    The shared hashes go to every task while they are few (BROADCAST), else
+    they meet the lines in a shuffle.
     """
-    base = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
-    line = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.filter(_hashes(F.col(text_col)), lambda h: h.isNotNull()))).alias("_h"))
-    over = line.groupBy("_h").agg(F.countDistinct("_id").alias("_n"), F.min("_id").alias("_first")).where(F.col("_n") > most).drop("_n")
-    hit = line.join(over, "_h")
+    base = docs.select(*[col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
+    text = base.select(whole_row(base).alias("row"), col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("print"), col(text_col).alias("text"))
+    line = cut(text.where("id is not null").select("id", "print", F.posexplode(_hashes(F.col("text"))).alias("pos", "h")).where("h is not null"))
+    over = cut(line.groupBy("h", "id").agg(F.lit(1).alias("x")).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > most).drop("n"))
+    hit = line.join(F.broadcast(over) if over.count() <= BROADCAST else over, "h")
     if keep_first:
-        hit = hit.where(F.col("_id") != F.col("_first"))
-    gone = hit.groupBy("_id").agg(F.collect_set("_h").alias("_gone")).withColumnRenamed("_id", "_weft_id")
-    kept = F.filter(F.arrays_zip(F.split(F.col(text_col), "\n").alias("l"), _hashes(F.col(text_col)).alias("h")), lambda x: x["h"].isNull() | ~F.array_contains("_gone", x["h"]))
-    joined = base.join(gone, F.col(id_col) == F.col("_weft_id"), "left").drop("_weft_id")
-    lines = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0))
-    kept_lines = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(lines)).withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.transform(kept, lambda x: x["l"])))
-    return kept_lines.select(
-        *[F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col(c) for c in base.columns],
-        "n_lines",
-        F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).alias("n_dropped"),
-    )
+        hit = hit.where("id <> first")
+    gone = hit.groupBy("id", "print").agg(F.collect_set("pos").alias("gone"))
+
+    def stay(lines: Column) -> Column:
+        at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.struct(F.array_join(F.transform(at, lambda p: F.get(lines, p)), "\n").alias("text"), (F.size(lines) - F.size(at)).alias("dropped"))
+
+    own = F.get(F.transform(F.array(F.split("text", "\n")), stay), F.lit(0))
+    joined = text.join(gone, ["id", "print"], "left").withColumn("new", F.when(F.col("gone").isNotNull(), own))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    new_text = F.coalesce("new.text", "text")
+    return joined.select(*[new_text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in base.columns], n_lines.alias("n_lines"), F.coalesce("new.dropped", F.lit(0)).alias("n_dropped"))
 
 
 SQL = f"""

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.llm._text import col, row_hash, unpack, whole_row
+from weft.plans.scratch import cut
+
 #: Knots of the curriculum: at each time every source weighs as its share of the tokens to this power.
 KNOTS = ((0.0, 1.0), (1.0, 0.7))
 SEED = 17
 _SLACK = 1 - 1e-12
 
 
-def order_key(id_col: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def order_key(id_col: Column, other: Column, seed: int) -> Column:
+    """The place of a document in its source; ``other`` stands for a null id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.concat(F.lit("\0"), other.cast("string")))))
 
 
 def _schedule(totals: dict[str, int], knots: tuple[tuple[float, float], ...], weights: dict[str, list[float]] | None) -> list[tuple[str, list[tuple[float, float, float, float]]]]:
@@ -47,46 +51,51 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     and stops where none are. By default the budget is the least with which
     every document is used at least once.
 
-    Result: the columns of docs, then n_tokens, epoch and position (columns
-    of docs called so are replaced), sorted by position. Tokens are runs of
-    other than blanks. A null text, an empty one or one of blanks has no
-    tokens and is placed with the document that follows it; a null source is
-    a source of its own; rows with the same id, and null ids, are documents
-    each. A source that has no tokens at all comes at time 0, once.
-    The number of sources has to fit in the driver's memory.
+    Result: the columns of docs, whatever they are called, then n_tokens,
+    epoch and position (columns of docs called so are replaced), sorted by
+    position; ties go by the hash, the id and the epoch. Tokens are runs of
+    other than blanks, the longest texts are counted whole. A null text, an
+    empty one or one of blanks has no tokens and is placed with the document
+    that follows it; a null source is a source of its own; rows with the
+    same id, null ids and rows that repeat are documents each. A source that
+    has no tokens at all comes at time 0, once. An empty table gives an
+    empty one. The number of sources has to fit in the driver's memory; a
+    source's documents are numbered in 65536 ranges of the hash, so no
+    source is one task's work.
     """
-    base = docs.drop(*[c for c in docs.columns if c.lower() in ("n_tokens", "epoch", "position")])
-    src = F.coalesce(F.col(source_col).cast("string"), F.lit("\0none"))
-    key = order_key(F.col(id_col), seed)
-    tok = base.withColumns({"n_tokens": F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^ \t\r\n\f]+")), F.lit(0)), "_src": src, "_key": key}).withColumn("_part", F.substring("_key", 1, 3))
-    sums = tok.groupBy("_src", "_part").agg(F.sum("n_tokens").alias("_sum"))
-    ahead = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(Window.partitionBy("_src").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_sum").over(Window.partitionBy("_src")))
-    from weft.plans.scratch import cut
-
-    ahead = cut(ahead.drop("_sum"))
-    totals = {r["_src"]: r["n"] for r in ahead.groupBy("_src").agg(F.max("_all").alias("n")).collect()}
+    base = docs.select(*[col(c) for c in docs.columns if c.lower() not in ("n_tokens", "epoch", "position")])
+    tok = base.select(
+        whole_row(base).alias("row"),
+        row_hash(base).alias("other"),
+        col(id_col).alias("id"),
+        F.coalesce(F.regexp_count(col(text_col), F.lit("[^ \t\r\n\f]+")), F.lit(0)).alias("n_tokens"),
+        F.coalesce(col(source_col).cast("string"), F.lit("\0none")).alias("src"),
+    ).withColumn("key", order_key(F.col("id"), F.col("other"), seed)).withColumn("part", F.substring("key", 1, 4))
+    sums = tok.groupBy("src", "part").agg(F.sum("n_tokens").alias("own"))
+    before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = cut(sums.select("src", "part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("ahead"), F.sum("own").over(Window.partitionBy("src")).alias("all")))
+    totals = {r["src"]: r["n"] for r in ahead.groupBy("src").agg(F.max("all").alias("n")).collect()}
     plan = _schedule(dict(sorted(totals.items())), knots, weights)
     every_one = budget is None
     if every_one:
         budget = max((totals[s] / own[-1][3] for s, own in plan if totals[s] and own[-1][3] > 0), default=0.0)
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(s, own) for s, own in plan], "_src string, _segments array<struct<t:double,w:double,slope:double,done:double>>")
-    order = Window.partitionBy("_src", "_part").orderBy("_key", F.col(id_col), F.xxhash64(*[F.col(c) for c in base.columns]))
+    table = docs.sparkSession.createDataFrame([(s, own) for s, own in plan], "src string, segments array<struct<t:double,w:double,slope:double,done:double>>")
+    order = Window.partitionBy("src", "part").orderBy("key", "id", "other")
     local = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
-    placed = tok.withColumn("_local", local).join(ahead, ["_src", "_part"]).join(table, "_src")
-    due = F.element_at("_segments", -1)["done"] * F.lit(float(budget)) * F.lit(_SLACK)
-    begin = (F.col("_ahead") + F.col("_local")).cast("double")
-    rounds = F.when(F.col("_all") == 0, F.lit(1)).otherwise(F.ceil((due - begin) / F.col("_all"))).cast("int")
+    placed = tok.withColumn("local", local).join(ahead, ["src", "part"]).join(table, "src")
+    due = F.element_at("segments", -1)["done"] * F.lit(float(budget)) * F.lit(_SLACK)
+    begin = (F.col("ahead") + F.col("local")).cast("double")
+    rounds = F.when(F.col("all") == 0, F.lit(1)).otherwise(F.ceil((due - begin) / F.col("all"))).cast("int")
     if every_one:  # one without tokens at the end of the source that sets the budget begins where all is delivered
         rounds = F.when(F.col("n_tokens") == 0, F.greatest(rounds, F.lit(1))).otherwise(rounds)
-    every = placed.withColumns({"_begin": begin, "_rounds": rounds}).where("_rounds > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_rounds") - 1)))
-    y = (F.col("_begin") + F.col("epoch") * F.col("_all")) / F.lit(float(budget) or 1.0)
-    seg = F.element_at(F.filter("_segments", lambda s: s["done"] <= F.col("_y")), -1)
-    rest = F.col("_y") - F.col("_s.done")
-    root = F.col("_s.w") + F.sqrt(F.greatest(F.lit(0.0), F.col("_s.w") * F.col("_s.w") + 2 * F.col("_s.slope") * rest))
-    at = F.when((rest <= 0) | (root <= 0), F.col("_s.t")).otherwise(F.col("_s.t") + 2 * rest / root)
-    done = every.withColumn("_y", y).withColumn("_s", seg).withColumn("position", F.round(F.least(F.lit(1.0), at), 9))
-    return done.orderBy("position", "_key", id_col, "epoch").select(*[F.col(c) for c in base.columns], F.col("n_tokens"), F.col("epoch"), F.col("position"))
+    every = placed.withColumns({"begin": begin, "rounds": rounds}).where("rounds > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
+    y = (F.col("begin") + F.col("epoch") * F.col("all")) / F.lit(float(budget) or 1.0)
+    seg = F.element_at(F.filter("segments", lambda s: s["done"] <= F.col("y")), -1)
+    rest = F.col("y") - F.col("s.done")
+    root = F.col("s.w") + F.sqrt(F.greatest(F.lit(0.0), F.col("s.w") * F.col("s.w") + 2 * F.col("s.slope") * rest))
+    at = F.when((rest <= 0) | (root <= 0), F.col("s.t")).otherwise(F.col("s.t") + 2 * rest / root)
+    done = every.withColumn("y", y).withColumn("s", seg).withColumn("position", F.round(F.least(F.lit(1.0), at), 9))
+    return done.orderBy("position", "key", "id", "epoch").select(*unpack("row", base.columns), "n_tokens", "epoch", "position")
 
 
 SQL = f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -9,16 +10,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from weft.llm._text import content, hashes, slices
+from weft.llm._text import col, content, hashes, numbered, slices, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks whose encodings a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
+#: Bytes up to which spans are searched abreast, and positions of a longer one that walk the trie together.
+LONG, BLOCK = 256, 1 << 17
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -212,6 +214,71 @@ def viterbi(p: Pieces, data: np.ndarray, begin: np.ndarray, end: np.ndarray) ->
     return np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(count)])
 
 
+def viterbi_long(p: Pieces, data: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """The best segmentation of one long span, in time that grows with its length.
+
+    A block of positions walks the trie abreast; the pieces found there are
+    then relaxed one after another, with sums in double precision. Ties go
+    as in viterbi().
+    """
+    n = end - begin
+    best, back, pick = array("d", [-np.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+    best[0] = 0.0
+    text = data[begin:end]
+    heads = np.flatnonzero((text & 192) != 128)
+    width = np.diff(np.append(heads, n))
+    for lo in range(0, len(heads), BLOCK):
+        own, wide = heads[lo : lo + BLOCK], width[lo : lo + BLOCK]
+        state, row, deep = np.zeros(len(own), np.int64), np.arange(len(own)), 0
+        single = np.zeros(len(own), bool)
+        found = []
+        while len(row):
+            to = p.base[state] + text[own[row] + deep] + 1
+            ok = p.check[to] == state
+            row, state = row[ok], to[ok]
+            deep += 1
+            hit = p.value[state] >= 0
+            found.append((row[hit], np.full(int(hit.sum()), deep), p.value[state[hit]]))
+            single[row[hit][wide[row[hit]] == deep]] = True
+            more = own[row] + deep < n
+            row, state = row[more], state[more]
+        r, size, piece = (np.concatenate(x) for x in zip(*found))
+        by = np.argsort(r, kind="stable")
+        at = np.searchsorted(r[by], np.arange(len(own) + 1)).tolist()
+        cell, gain, piece = (own[r] + size)[by].tolist(), p.score[piece[by]].astype(float).tolist(), piece[by].tolist()
+        for k, (pos, alone, w) in enumerate(zip(own.tolist(), single.tolist(), wide.tolist())):
+            s = best[pos]
+            if s == -np.inf:
+                continue
+            for m in range(at[k], at[k + 1]):
+                c = cell[m]
+                if s + gain[m] > best[c]:
+                    best[c], back[c], pick[c] = s + gain[m], pos, piece[m]
+            if not alone and s + p.unknown > best[pos + w]:
+                best[pos + w], back[pos + w], pick[pos + w] = s + p.unknown, pos, -1
+    out, at = [], n
+    while at:
+        v, before = pick[at], back[at]
+        out += [v] if v >= 0 else p.byte_id[text[before:at]][::-1].tolist()
+        at = before
+    return np.array(out[::-1], np.int32)
+
+
+def segment(p: Pieces, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """viterbi() for spans of up to LONG bytes, all abreast, and viterbi_long() for each longer one."""
+    long = np.flatnonzero(end - begin > LONG)
+    if not len(long):
+        return viterbi(p, data, begin, end)
+    short = np.flatnonzero(end - begin <= LONG)
+    ids, at = viterbi(p, data, begin[short], end[short])
+    parts = [viterbi_long(p, data, int(begin[i]), int(end[i])) for i in long]
+    start, size = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+    start[short], size[short] = at[:-1], np.diff(at)
+    size[long] = [len(x) for x in parts]
+    start[long] = len(ids) + np.cumsum(size[long]) - size[long]
+    return ragged(np.concatenate([ids, *parts]), start, size), np.concatenate([[0], np.cumsum(size)])
+
+
 def ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """values[start[i]:start[i] + size[i]] for all i, end to end."""
     end = np.cumsum(size)
@@ -261,7 +328,7 @@ class Encoder:
         fresh = np.flatnonzero(~old)
         store = self.store
         if len(fresh):
-            ids, at = viterbi(self.p, marked, begin[example[fresh]], end[example[fresh]])
+            ids, at = segment(self.p, marked, begin[example[fresh]], end[example[fresh]])
             start[fresh], size[fresh] = at[:-1] + len(store), np.diff(at)
             store = np.concatenate([store, ids])
             if len(self.known) + len(fresh) <= REMEMBERED:
@@ -295,19 +362,22 @@ def encode_pieces(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", te
     nulls; an empty one no ids. round_trip tells whether decoding gives the
     text's bytes; it doesn't where a text has the marker itself (U+2581),
     which stands for a space. Rows that repeat are encoded each. The longest
-    texts are encoded whole.
+    texts are encoded whole, with blanks or without, in time that grows with
+    their length. Among segmentations of equal score pieces that begin first
+    win. An empty table gives an empty one.
     """
     added = ["ids", "n_tokens", "round_trip"]
     kept = [c for c in docs.columns if c.lower() not in added] if keep_columns else [id_col]
-    own = docs.select(*[docs[c] for c in kept], docs[text_col].cast("string").alias("_weft_text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", ids array<int>, n_tokens int, round_trip boolean"
+    columns, kinds = numbered(docs, kept)
+    own = docs.select(*columns, col(text_col).cast("string").alias("text"))
+    schema = f"{kinds}, ids array<int>, n_tokens int, round_trip boolean"
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
-        for part in slices(batches, "_weft_text", 1 << 21):
-            col = part.column("_weft_text")
-            data, off = content(col)
+        for part in slices(batches, "text", 1 << 20):
+            texts = part.column(len(kept))
+            data, off = content(texts)
             ids, at = encoder.encode(data, off)
             back, back_off = decode(encoder.p, ids, at)
             same = np.diff(back_off) == np.diff(off)
@@ -316,27 +386,28 @@ def encode_pieces(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", te
                 same = differ[off[1:]] == differ[off[:-1]]
             else:
                 same = np.array([s and bool((back[a:b] == data[c:d]).all()) for s, a, b, c, d in zip(same, back_off[:-1], back_off[1:], off[:-1], off[1:])])
-            null = ~np.array(col.is_valid())
+            null = ~np.array(texts.is_valid())
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32), mask=np.append(null, False)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), lists, pa.array(np.diff(at).astype(np.int32), mask=null), pa.array(same, mask=null)], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), lists, pa.array(np.diff(at).astype(np.int32), mask=null), pa.array(same, mask=null)], names=[*(f"c{i}" for i in range(len(kept))), *added])
+        trim()
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).toDF(*kept, *added)
 
 
 def decode_pieces(df: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, text) from token ids; map-only. Null ids give a null text, bytes that aren't UTF-8 U+FFFD."""
     kind = df.schema[id_col].dataType.simpleString()
-    own = df.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    own = df.select(col(id_col).alias("id"), col(ids_col).cast("array<int>").alias("ids"))
     sent = df.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         for part in batches:
-            col = part.column("ids")
-            n = np.array([0 if x is None else x for x in pa.compute.list_value_length(col).to_pylist()], np.int64)
-            ids = col.flatten().to_numpy(zero_copy_only=False)
+            lists = part.column("ids")
+            n = np.array([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()], np.int64)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
             data, off = decode(p, ids, np.concatenate([[0], np.cumsum(n)]))
-            raw, ok = data.tobytes(), col.is_valid().to_pylist()
+            raw, ok = data.tobytes(), lists.is_valid().to_pylist()
             yield pa.record_batch([part.column("id"), pa.array([raw[a:b].decode("utf-8", "replace") if v else None for a, b, v in zip(off[:-1], off[1:], ok)], pa.string())], names=["id", "text"])
 
     return own.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)

@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._text import content, grams, hashes, mix, rows_of, slices, sums, within, words
+from weft.llm._text import col, content, grams, hashes, mix, rows_of, slices, trim, within, words
 
 #: n-gram orders, each of them a family of features of its own.
 WORD_ORDERS = (1, 2)
@@ -55,9 +54,13 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def logits(data: np.ndarray, off: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """bias plus, for each family, the mean weight of a row's n-grams. A row's sum has its own n-grams in order and no others."""
     out = np.full(len(off) - 1, bias)
     for bucket, first in _families(data, off):
-        out += sums(weights[bucket], first) / np.maximum(1, np.diff(first))
+        size = np.diff(first)
+        some = np.flatnonzero(size)
+        if len(some):
+            out[some] += np.add.reduceat(weights[bucket], first[some]) / size[some]
     return out
 
 
@@ -116,40 +119,44 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, epochs: int = 10, l2: float = 1e-6) -> QualityModel | None:
     """Fit on at most ``max_rows`` labelled rows of each label, the first by a hash of the id.
 
-    A quarter of them is held out, for the calibration and held-out accuracy.
-    Rows without id, text or label are left out; None where a label has
-    fewer than 8 rows.
+    Half of them train the weights, a quarter the calibration, and the last
+    quarter, which takes part in neither, gives the accuracy and Brier score
+    in held_out. Rows without id, text or label are left out; ties in the
+    hash go by id; ids that repeat are one row for each of their texts. None
+    where a label has fewer than 8 rows.
     """
-    given = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y")).withColumn("_h", F.xxhash64("_id", F.lit(7)))
+    given = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull()).groupBy(col(id_col).alias("_id")).agg(F.max(col(label_col)).cast("int").alias("_y")).withColumn("_h", F.xxhash64("_id", F.lit(7)))
     ids = given.where("_y = 0").orderBy("_h", "_id").limit(max_rows).unionByName(given.where("_y = 1").orderBy("_h", "_id").limit(max_rows))
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(ids), "_id")
+    text = docs.where(col(text_col).isNotNull() & col(id_col).isNotNull()).select(col(id_col).alias("_id"), col(text_col).cast("string").alias("_t"))
+    sample = text.join(F.broadcast(ids), "_id").select("_h", "_y", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_t", 1 << 20):
             r, k, v = features(*content(part.column("_t")))
             order = np.argsort(r, kind="stable")
-            at = np.searchsorted(r[order], np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.record_batch(
-                [part.column("_h"), part.column("_y"), pa.ListArray.from_arrays(at, pa.array(k[order].astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(v[order].astype(np.float32)))],
-                names=["h", "y", "k", "v"],
-            )
+            at = np.searchsorted(r[order], np.arange(part.num_rows + 1)).astype(np.int64)
+            pack = lambda x: [pa.compress(np.ascontiguousarray(x[i:j]).view(np.uint8), codec="zstd", asbytes=True) for i, j in zip(at[:-1], at[1:])]  # noqa: B023, E731
+            yield pa.record_batch([part.column("_h"), part.column("_y"), pa.array(np.diff(at).astype(np.int32)), pa.array(pack(k[order].astype(np.int32)), pa.binary()), pa.array(pack(v[order].astype(np.float32)), pa.binary())], names=["h", "y", "n", "k", "v"])
 
-    got = sample.mapInArrow(run, "h bigint, y int, k array<int>, v array<float>").toArrow()
+    got = sample.mapInArrow(run, "h bigint, y int, n int, k binary, v binary").toArrow()
     y = got["y"].to_numpy().astype(np.float64)
     if min((y == 0).sum(), (y == 1).sum()) < 8:
         return None
-    order = np.argsort(got["h"].to_numpy(), kind="stable")  # one order, however the rows arrive
-    size = pa.compute.list_value_length(got["k"]).to_numpy().astype(np.int64)
+    size = got["n"].to_numpy().astype(np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
-    keys, vals = (np.concatenate([c.flatten().to_numpy() for c in got[x].chunks]) for x in "kv")
+    unpack = lambda name, kind: np.concatenate([np.frombuffer(pa.decompress(x, int(n) * 4, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind) for x, n in zip(got[name].to_pylist(), size)])
+    keys, vals = unpack("k", np.int32), unpack("v", np.float32)
+    order = np.lexsort((size, got["h"].to_numpy()))  # one order, however the rows arrive
     del got
-    held = np.zeros(len(y), bool)
+    role = np.zeros(len(y), np.int64)  # 0 and 2: weights, 1: calibration, 3: held out
     for c in (0, 1):
-        held[order[y[order] == c][::4]] = True
-    w, b = _fit_logistic(at, keys, vals, y, order[~held[order]], epochs, l2)
+        own = order[y[order] == c]
+        role[own] = np.arange(len(own)) % 4
+    w, b = _fit_logistic(at, keys, vals, y, order[role[order] % 2 == 0], epochs, l2)
     z = np.array([vals[i:j] @ w[keys[i:j]] for i, j in zip(at[:-1], at[1:])]) + b
-    slope, shift = _platt(z[held], y[held])
+    slope, shift = _platt(z[role == 1], y[role == 1])
     model = QualityModel(w, b, slope, shift, {})
+    held = role == 3
     p = model.probability(z[held])
     model.held_out.update(rows=int(held.sum()), accuracy=float(((p >= KEEP) == y[held]).mean()), brier=float(((p - y[held]) ** 2).mean()))
     return model
@@ -161,11 +168,14 @@ def score_quality(docs: DataFrame, model: QualityModel | None, *, id_col: str =
     Result: (id_col, probability, grade, keep): grade is ``high``, ``medium``
     or ``low`` by the fixed thresholds HIGH and KEEP. A null text, or no
     model, has a null probability, grade ``unknown`` and isn't kept. An
-    empty text is scored by the bias alone. Rows that repeat are scored
-    each; columns that clash with the result's are left out.
+    empty text is scored by the bias alone, the longest texts whole. Equal
+    texts have equal scores, whatever is scored with them, and a probability
+    at a threshold is in the better grade. Rows that repeat are scored each;
+    other columns, also such as are called like those of the result, are
+    left out. An empty table gives an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, probability double, grade string, keep boolean"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -177,5 +187,6 @@ def score_quality(docs: DataFrame, model: QualityModel | None, *, id_col: str =
             p = m.probability(z) if m is not None else z
             grade = np.where(~has, "unknown", np.where(p >= HIGH, "high", np.where(p >= KEEP, "medium", "low")))
             yield pa.record_batch([part.column("id"), pa.array(p, mask=~has), pa.array(grade), pa.array(has & (p >= KEEP))], names=["id", "probability", "grade", "keep"])
+        trim()
 
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.llm._text import col, pair_search, row_hash, unpack, whole_row
+
 SEED, ROUNDS, ROWS = 29, 6, 8192
+#: Ranges of ids at most, and rows of the sample that their borders come from.
+PARTS, SAMPLE = 20_000, 1_000_000
 _PRIME = (1 << 31) - 1
 
 
@@ -74,49 +78,65 @@ def locate(row: int, n: int, rows_per_shard: int = ROWS, seed: int = SEED) -> tu
 def row_numbers(df: DataFrame, *, id_col: str = "doc_id", name: str = "row_number", rows_per_part: int = 20000) -> tuple[DataFrame, int]:
     """Global row numbers from 0 in the order of ids, with no single-task sort; and the number of rows.
 
-    Splitters from a sample of ids cut the table into ranges of ids; rows are
-    numbered in their range, after the counts of the ranges before it. Nulls
-    come first; rows with one id are ordered by a hash of the row, and one
-    that repeats takes as many numbers.
+    Splitters, quantiles of a sample of at most SAMPLE (id, hash of the row),
+    cut the table into up to PARTS ranges; rows are numbered in their range,
+    after the counts of the ranges before it. Nulls come first; rows with
+    one id are ordered by a hash of the row, by which they are cut into
+    ranges too, and one that repeats takes as many numbers. Any column names
+    will do; ``name`` replaces a column that is called so.
     """
     spark = df.sparkSession
-    total = df.count()
-    parts = max(1, -(-total // rows_per_part))
-    share = min(1.0, max(200 * parts, 2000) / max(total, 1))
-    seen = sorted(r[0] for r in df.select(F.col(id_col).alias("i")).where("i is not null").sample(share, 3).collect()) if parts > 1 else []
-    bounds = [seen[len(seen) * k // parts] for k in range(1, parts)] if seen else []
-    sent = spark.sparkContext.broadcast(np.array(bounds))
+    base = df.select(*[col(c) for c in df.columns if c.lower() != name.lower()])
+    own = base.select(whole_row(base).alias("row"), col(id_col).alias("id"), row_hash(base).alias("other"))
+    total = own.count()
+    parts = min(PARTS, max(1, -(-total // rows_per_part)))
+    sample = own.select("id", "other").sample(min(1.0, min(200 * parts, SAMPLE) / total), 3).toArrow() if parts > 1 else None
+    none, ids, others = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if sample is not None and sample.num_rows:
+        known = np.array(sample["id"].combine_chunks().is_valid())
+        value, other = sample["id"].to_pandas().to_numpy(), sample["other"].to_numpy()
+        step = max(1, sample.num_rows // parts)
+        none = np.sort(other[~known])[step::step]
+        value, other = value[known], other[known]
+        value = np.array(value.tolist()) if len(value) else np.zeros(0, np.int64)
+        order = np.lexsort((other, value))[step::step]
+        ids, others = value[order], other[order]
+    sent = spark.sparkContext.broadcast((none, ids, others))
 
     @F.pandas_udf("int")
-    def bucket(i: pd.Series) -> pd.Series:
-        out = np.full(len(i), -1)
-        ok = i.notna().to_numpy()
-        out[ok] = np.searchsorted(sent.value, i[ok].to_numpy(), "right")
+    def bucket(i: pd.Series, h: pd.Series) -> pd.Series:
+        null, first, second = sent.value
+        out, ok, other = np.zeros(len(i), np.int64), i.notna().to_numpy(), h.to_numpy()
+        out[~ok] = np.searchsorted(null, other[~ok], "right")
+        if ok.any():
+            out[ok] = len(null) + 1 + pair_search(first, second, np.array(i[ok].tolist()), other[ok])
         return pd.Series(out)
 
-    part = bucket(F.col(id_col)) if bounds else F.when(F.col(id_col).isNull(), -1).otherwise(0)
-    counts = sorted((r["p"], r["n"]) for r in df.select(part.alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect())  # a row for each range
+    placed = own.withColumn("part", bucket("id", "other"))
+    counts = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each range
     before, at = [], 0
     for p, n in counts:
         before.append((p, at))
         at += n
-    ahead = spark.createDataFrame(before, "_part int, _ahead long")
-    order = Window.partitionBy("_part").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(*[F.col(c) for c in df.columns]))
-    numbered = df.withColumn("_part", part).withColumn("_local", F.row_number().over(order)).join(F.broadcast(ahead), "_part")
-    return numbered.select(*[F.col(c) for c in df.columns], (F.col("_ahead") + F.col("_local") - 1).alias(name)), total
+    ahead = spark.createDataFrame(before, "part int, ahead long")
+    order = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "other")
+    numbered = placed.withColumn("local", F.row_number().over(order)).join(F.broadcast(ahead), "part")  # PARTS rows at most
+    return numbered.select(*unpack("row", base.columns), (F.col("ahead") + F.col("local") - 1).alias(name)), total
 
 
 def shard_rows(df: DataFrame, *, id_col: str = "doc_id", rows_per_shard: int = ROWS, seed: int = SEED) -> DataFrame:
     """Shuffle a table into shards, the same at every run and on every cluster.
 
-    Result: the columns of df, then row_number (order of ids), position (its
-    image under permute()), shard and slot: position divided by
-    rows_per_shard, and what is left over. Rows are clustered by shard and
-    sorted by slot. Columns of df that are called so are replaced. Null ids
-    come first; rows that repeat get places of their own; an empty table
-    gives an empty one; all shards but the last are full.
+    Result: the columns of df, whatever they are called, then row_number
+    (order of ids), position (its image under permute()), shard and slot:
+    position divided by rows_per_shard, and what is left over. Rows are
+    clustered by shard and sorted by slot. Columns of df that are called so
+    are replaced. Null ids come first; rows that tie in the id are ordered
+    by a hash of all columns; rows that repeat get places of their own; the
+    longest texts don't matter; an empty table gives an empty one; all
+    shards but the last are full.
     """
-    base = df.drop(*[c for c in df.columns if c.lower() in ("row_number", "position", "shard", "slot")])
+    base = df.select(*[col(c) for c in df.columns if c.lower() not in ("row_number", "position", "shard", "slot")])
     numbered, total = row_numbers(base, id_col=id_col)
 
     @F.pandas_udf("long")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm._text import content, grams, hashes, mix, rows_of, slices, words
+from weft.llm._text import col, content, grams, hashes, mix, pair_search, rows_of, slices, trim, words
 from weft.plans.scratch import cut
 
 #: Words of the shortest passage, words of a lead, and suffixes for a bucket.
 LENGTH, LEAD, PER_BUCKET = 50, 8, 50_000
+#: Rows of the sample that splitters come from.
+SAMPLE = 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,6 +98,14 @@ def _lead_key(token: np.ndarray, a: np.ndarray) -> np.ndarray:
     return (top[a] << np.uint64(48)) | (top[a + 1] << np.uint64(32)) | (top[a + 2] << np.uint64(16)) | top[a + 3]
 
 
+def splitters(sample: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of (lead, doc) pairs, which part them into so many buckets."""
+    lead, doc = sample["lead"].to_numpy().view(np.uint64), sample["doc"].to_numpy()
+    order = np.lexsort((doc, lead))
+    at = order[len(order) * np.arange(1, buckets) // buckets] if len(order) else order
+    return lead[at], doc[at]
+
+
 def _sorted_bucket(length: int, lead: int, alone: bool):
     """Sort one bucket's suffixes and compare neighbours; windows next to a border are left for the comparison across."""
 
@@ -160,6 +169,7 @@ def _sorted_bucket(length: int, lead: int, alone: bool):
         tail = np.append(head[1:], len(d)) - 1 if len(d) else head
         wh, wd, wp = np.concatenate(w_hash), np.concatenate(w_doc), np.concatenate(w_p)
         m = len(head)
+        trim()
         return pa.table([
             pa.array(np.concatenate([np.zeros(m, np.int64), wh.view(np.int64)]), mask=np.arange(m + len(wh)) < m),
             pa.array(np.concatenate([d[head], wd])),
@@ -181,9 +191,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     1. Suffixes whose first ``lead`` words are those of no other document
        can't repeat and go.
-    2. Splitters, quantiles of a sample of leads (ties by document), cut the
-       rest into buckets in number with them. A suffix takes along the words
-       of its windows.
+    2. Splitters, quantiles of a sample of leads (ties by document; SAMPLE
+       or four a bucket at most), cut the rest into buckets in number with
+       them. A suffix takes along the words of its windows.
     3. A bucket sorts by multikey quicksort, and the common prefixes of
        neighbours with equal words before the anchor tell the repeats. What
        has the lead of a bucket's first or last suffix may go on in another
@@ -197,29 +207,31 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     of it (deduplication keeps these and cuts the others). Passages repeated
     in one document alone have no row, neither have null or short texts and
     rows with a null id. Ids are integers; rows that share an id are one
-    document, so a row that repeats is no other document. Other columns don't
-    matter.
+    document, so a row that repeats is no other document. The longest texts
+    are sorted whole; of documents that tie in a passage the least id is the
+    original; an empty table gives an empty one. Other columns don't matter,
+    whatever they are called.
     """
     spark = docs.sparkSession
-    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    own = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).cast("bigint").alias("doc"), col(text_col).cast("string").alias("text"))
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 21):
             row, a, _, _, g, token, start = anchors(*content(part.column("text")), length, lead)
             if len(a):
                 yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(_lead_key(token, a).view(np.int64)), part.column("doc").take(pa.array(row)), pa.array((a - start[row]).astype(np.int32))], names=["g", "lead", "doc", "pos"])
+        trim()
 
-    per_lead = Window.partitionBy("g")
-    found = own.mapInArrow(leads, "g bigint, lead bigint, doc bigint, pos int").withColumns({"_lo": F.min("doc").over(per_lead), "_hi": F.max("doc").over(per_lead)})
-    tied = cut(found.where("_lo <> _hi").select("doc", "pos", "lead"))
+    found = cut(own.mapInArrow(leads, "g bigint, lead bigint, doc bigint, pos int"))
+    shared = found.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("g")
+    tied = cut(found.join(shared, "g", "left_semi").select("doc", "pos", "lead"))
     total = tied.count()
     buckets = max(1, -(-total // per_bucket))
-    splitters: list[tuple[int, int]] = []
+    borders = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if buckets > 1:
-        share = min(1.0, 60 * buckets / total)
-        sample = sorted(((r["lead"] + (1 << 64)) % (1 << 64), r["doc"]) for r in tied.select("lead", "doc").sample(share, 5).collect())
-        splitters = [sample[len(sample) * k // buckets] for k in range(1, buckets)] if sample else []
-    sent = spark.sparkContext.broadcast(splitters)
+        most = max(min(60 * buckets, SAMPLE), 4 * buckets)
+        borders = splitters(tied.select("lead", "doc").sample(min(1.0, most / total), 5).toArrow(), buckets)
+    sent = spark.sparkContext.broadcast(borders)
     places = tied.groupBy("doc").agg(F.collect_set("pos").alias("places")).withColumnRenamed("doc", "_doc")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,18 +247,20 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             if not len(a):
                 continue
             key, doc = _lead_key(token, a), part.column("doc").to_numpy()[row]
-            bucket = [bisect_right(sent.value, x) for x in zip(key.tolist(), doc.tolist())]
+            bucket = pair_search(*sent.value, key, doc).astype(np.int32)
             size = last + length - first
             end = np.cumsum(size)
             flat = token[np.arange(int(end[-1])) + np.repeat(first - (end - size), size)]
             off = np.concatenate([[0], end * 4]).astype(np.int32)
             text = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(off), pa.py_buffer(flat)])
             yield pa.record_batch([pa.array(bucket, pa.int32()), pa.array(key.view(np.int64)), pa.array(doc), pa.array((a - start[row]).astype(np.int32)), pa.array((a - last).astype(np.int16)), pa.array((a - first).astype(np.int16)), text], names=["bucket", "lead", "doc", "pos", "low", "high", "words"])
+        trim()
 
     carried = own.join(places, F.col("doc") == F.col("_doc")).select("doc", "text", "places").mapInArrow(suffixes, "bucket int, lead bigint, doc bigint, pos int, low smallint, high smallint, words binary")
-    found = cut(carried.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sorted_bucket(length, lead, not splitters), "w bigint, doc bigint, begin bigint, stop bigint, first boolean"))
-    across = Window.partitionBy("w")
-    edge = found.where("w is not null").withColumns({"_lo": F.min("doc").over(across), "_hi": F.max("doc").over(across)}).where("_lo <> _hi").select("doc", "begin", "stop", (F.col("doc") == F.col("_lo")).alias("first"))
+    found = cut(carried.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sorted_bucket(length, lead, not len(borders[0])), "w bigint, doc bigint, begin bigint, stop bigint, first boolean"))
+    far = found.where("w is not null")
+    ends = far.groupBy("w").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
+    edge = far.join(ends, "w").select("doc", "begin", "stop", (F.col("doc") == F.col("lo")).alias("first"))
     every = found.where("w is null").select("doc", "begin", "stop", "first").unionByName(edge)
     order = Window.partitionBy("doc").orderBy("begin", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._text import NOT_ALNUM, content, grams, hashes, mix, rows_of, slices, within, words
+from weft.llm._text import NOT_ALNUM, col, content, grams, hashes, mix, rows_of, slices, within, trim, words
 from weft.plans.scratch import cut
 
 #: A passage is significant up to this expected count of such passages in a clean document of the length.
@@ -135,11 +135,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     or label, and empty texts, take no part; a row that repeats is a near
     copy of itself. None where a label has no rows or no word stands out.
     """
-    c = lambda name: F.col("`" + name.replace("`", "``") + "`")
-    given = labels.where(c(label_col).isin(0, 1) & c(id_col).isNotNull()).groupBy(c(id_col).alias("_id")).agg(F.max(c(label_col)).cast("int").alias("_y")).withColumn("_h", F.xxhash64("_id", F.lit(13)))
+    given = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull()).groupBy(col(id_col).alias("_id")).agg(F.max(col(label_col)).cast("int").alias("_y")).withColumn("_h", F.xxhash64("_id", F.lit(13)))
     ids = given.where("_y = 0").orderBy("_h", "_id").limit(max_rows).unionByName(given.where("_y = 1").orderBy("_h", "_id").limit(max_rows))
-    text = docs.where(c(text_col).isNotNull() & c(id_col).isNotNull()).select(c(id_col).alias("_id"), c(text_col).cast("string").alias("_t"))
-    sample = cut(text.join(F.broadcast(ids), "_id").select("_h", "_y", "_t"))  # bounded by max_rows
+    text = docs.where(col(text_col).isNotNull() & col(id_col).isNotNull()).select(col(id_col).alias("_id"), col(text_col).cast("string").alias("_t"))
+    sample = cut(text.join(F.broadcast(ids), "_id").select("_h", "_y", "_t").distinct())  # bounded by max_rows
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_t", 1 << 22):
@@ -205,9 +204,9 @@ def _tail(scores: np.ndarray, lam: float, n: int) -> float:
     return float(((scores >= least).sum() + 1) * np.exp(lam * least) / max(1, n))
 
 
-def _scan(col: pa.Array, m: ToxicModel) -> tuple[list[tuple[int, int, int, int, int, float]], np.ndarray]:
+def _scan(texts: pa.Array, m: ToxicModel) -> tuple[list[tuple[int, int, int, int, int, float]], np.ndarray]:
     """(row, first, last token, begin, end byte in the row, score) of each maximal segment; tokens of each row."""
-    data, off = content(col)
+    data, off = content(texts)
     h, begin, end, first = tokens(data, off)
     at, score = m.hits(h)
     row = np.searchsorted(first, at, "right") - 1
@@ -235,8 +234,7 @@ def find_toxic(docs: DataFrame, model: ToxicModel | None, *, id_col: str = "doc_
     of the result, are left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    c = lambda name: F.col("`" + name.replace("`", "``") + "`")
-    own = docs.select(c(id_col).alias("id"), c(text_col).cast("string").alias("text"))
+    own = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,12 +250,12 @@ def find_toxic(docs: DataFrame, model: ToxicModel | None, *, id_col: str = "doc_
                     good.append((r, a, b, i, j, s, e))
             if not good:
                 continue
-            col = part.column("text")
+            texts = part.column("text")
             number, last, raw = [], -1, b""
             text = []
             for r, _, _, i, j, _, _ in good:
                 number.append(number[-1] + 1 if r == last else 0)
-                raw = raw if r == last else col[r].as_py().encode()
+                raw = raw if r == last else texts[r].as_py().encode()
                 last = r
                 text.append(raw[i:j].decode("utf-8", "replace"))
             rows = [g[0] for g in good]
