@@ -83,12 +83,6 @@ def shingles(c: Column | str, n: int, least: int) -> Column:
     return let(F.split(_col(c), "[^A-Za-z_0-9]", -1), cut)
 
 
-def sha1_low32(c: Column | str) -> Column:
-    """The first four bytes of the SHA-1, as a little-endian number."""
-    h = F.sha1(_col(c))
-    return F.conv(F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("bigint")
-
-
 def fingerprint(*cols: Column | str, size: int = 5) -> Column:
     return F.substring(F.sha2(F.concat(*[_col(c).cast("string") for c in cols]), 256), 1, size)
 
@@ -130,6 +124,12 @@ def strip_header(c: Column | str) -> Column:
     return F.when(x.rlike("\\A<(reponame|filename)>"), rest).otherwise(x)
 
 
+def chart_label(c: Column | str) -> Column:
+    """A label without the word that has ``Problems``, and with ``and`` as an escaped ampersand."""
+    kept = F.array_join(F.filter(F.split(_col(c), " "), lambda w: ~F.contains(w, F.lit("Problems"))), " ")
+    return F.replace(kept, F.lit("and"), F.lit("\\&"))
+
+
 def until_fence(c: Column | str) -> Column:
     return F.substring_index(_col(c), FENCE, 1)
 

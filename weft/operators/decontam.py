@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import joined_lower
 
-#: Up to so many patterns and characters of them go to every task for a nested-loop join; beyond, an automaton does.
-LOOP_PATTERNS, LOOP_CHARS, PART_CHARS = 1000, 4_000_000, 64_000_000
+#: Characters of patterns in one automaton; more of them are searched for in parts.
+PART_CHARS = 64_000_000
 
 
 def pattern_table(*sources: tuple[str, DataFrame], ignored: set[str] = frozenset()) -> DataFrame:
@@ -25,32 +25,32 @@ def pattern_table(*sources: tuple[str, DataFrame], ignored: set[str] = frozenset
     return out
 
 
+def _parts(patterns: DataFrame) -> Iterator[list[tuple[str, int, int]]]:
+    """The patterns in lower case with their order, of PART_CHARS characters at most each time, and once if there are none."""
+    low = patterns.select(F.lower("pattern").alias("_p"), "bench_ord", "item_ord")
+    parts = max(1, -(-low.agg(F.coalesce(F.sum(F.length("_p")), F.lit(0))).first()[0] // PART_CHARS))
+    for k in range(parts):
+        yield [(r["_p"], r["bench_ord"], r["item_ord"]) for r in low.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == k).toLocalIterator()]
+
+
 def matches(docs: DataFrame, patterns: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """(id, benchmark, matched_substring): for each row that has a pattern in it, in any case, the first in (bench_ord, item_ord).
 
-    The columns are searched as one text with blank lines between. An empty
-    pattern is in every text. The number of patterns decides the plan: a
-    broadcast nested loop, or an Aho-Corasick automaton over parts of them.
+    The columns are searched as one text with blank lines between, by an
+    Aho-Corasick automaton. An empty pattern is in every text.
     """
-    size = patterns.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("c")).first()
     text = docs.select(F.col(id_col).alias("_id"), joined_lower(*text_cols).alias("_t"))
-    low = patterns.withColumn("_p", F.lower("pattern"))
+    hit = None
+    for rows in _parts(patterns):
+        own = _automaton(text, ["_id"], rows).where("bench_ord is not null")
+        hit = own if hit is None else hit.unionByName(own)
     first = F.min_by(F.struct("benchmark", "pattern"), F.struct("bench_ord", "item_ord"))
-    if size["n"] <= LOOP_PATTERNS and size["c"] <= LOOP_CHARS:
-        hit = text.join(F.broadcast(low), F.contains(F.col("_t"), F.col("_p")))
-        found = hit.groupBy("_id").agg(first.alias("m"))
-    else:
-        parts = -(-size["c"] // PART_CHARS)
-        hit = None
-        for k in range(parts):
-            rows = [(r["_p"], r["bench_ord"], r["item_ord"]) for r in low.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == k).select("_p", "bench_ord", "item_ord").toLocalIterator()]
-            own = _automaton(text, rows)
-            hit = own if hit is None else hit.unionByName(own)
-        found = hit.join(patterns, ["bench_ord", "item_ord"]).groupBy("_id").agg(first.alias("m"))
+    found = hit.join(patterns, ["bench_ord", "item_ord"]).groupBy("_id").agg(first.alias("m"))
     return found.select(F.col("_id").alias(id_col), F.col("m.benchmark").alias("benchmark"), F.col("m.pattern").alias("matched_substring"))
 
 
-def _automaton(text: DataFrame, rows: list[tuple[str, int, int]]) -> DataFrame:
+def _automaton(text: DataFrame, keep: list[str], rows: list[tuple[str, int, int]]) -> DataFrame:
+    """The columns to keep of every row, with the order of the first pattern in its _t or nulls; map-only."""
     least: dict[str, tuple[int, int]] = {}
     for p, a, b in rows:
         least[p] = min(least.get(p, (a, b)), (a, b))
@@ -69,18 +69,27 @@ def _automaton(text: DataFrame, rows: list[tuple[str, int, int]]) -> DataFrame:
         for batch in batches:
             best = []
             for t in batch.column("_t").to_pylist():
-                seen = [order for _, order in tree.iter(t)] if items else []
-                best.append(min([*seen, *([empty] if empty else [])], default=None))
-            keep = [i for i, b in enumerate(best) if b]
-            yield pa.record_batch([batch.column("_id").take(pa.array(keep, pa.int64())), pa.array([best[i][0] for i in keep], pa.int32()), pa.array([best[i][1] for i in keep], pa.int64())], names=["_id", "bench_ord", "item_ord"])
+                seen = {order for _, order in tree.iter(t)} if items else set()
+                best.append(min([*seen, *([empty] if empty else [])], default=(None, None)))
+            yield pa.record_batch([*(batch.column(c) for c in keep), *(pa.array([x[k] for x in best], kind) for k, kind in ((0, pa.int32()), (1, pa.int64())))], names=[*keep, "bench_ord", "item_ord"])
 
-    return text.mapInArrow(run, f"_id {text.schema['_id'].dataType.simpleString()}, bench_ord int, item_ord bigint")
+    kinds = ", ".join(f"`{c}` {text.schema[c].dataType.simpleString()}" for c in keep)
+    return text.mapInArrow(run, f"{kinds}, bench_ord int, item_ord bigint")
 
 
 def decontaminate(docs: DataFrame, patterns: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """docs with filter_reason and matched_substring; both are null for rows to keep."""
+    """docs with filter_reason and matched_substring; both are null for rows to keep.
+
+    While one automaton holds all patterns, rows pass through it with all
+    their columns and none is shuffled.
+    """
     if {"filter_reason", "matched_substring"} & set(docs.columns):
         raise ValueError("the input has filter_reason or matched_substring already")
+    every = list(_parts(patterns)) if patterns.agg(F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()[0] <= PART_CHARS // 2 else None  # lower case may be longer
+    if every is not None and len(every) == 1 and not {"bench_ord", "item_ord", "_t"} & {c.lower() for c in docs.columns}:
+        tagged = _automaton(docs.withColumn("_t", joined_lower(*text_cols)), docs.columns, every[0])
+        named = patterns.groupBy("bench_ord", "item_ord").agg(F.min(F.struct(F.concat("benchmark", F.lit("_match")).alias("filter_reason"), F.col("pattern").alias("matched_substring"))).alias("_m"))
+        return tagged.join(F.broadcast(named), ["bench_ord", "item_ord"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_m.filter_reason", "_m.matched_substring")
     found = matches(docs, patterns, id_col, text_cols)
     return docs.join(found.select(F.col(id_col).alias("_hit"), F.concat("benchmark", F.lit("_match")).alias("filter_reason"), "matched_substring"), F.col(id_col) == F.col("_hit"), "left").drop("_hit")
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import sha1
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import codeblocks, squeeze
@@ -26,7 +25,8 @@ def greedy_dedup(df: DataFrame, order: str, keys: list[str], reasons: tuple[str,
 
     What a dropped row has doesn't count as seen, so this isn't the first row
     of each key. In rounds: rows that come first among the undecided in all
-    their groups are kept, undecided rows that share a key with them go.
+    their groups are kept, undecided rows that share a key with them go. A group is
+    reduced to its first row before the shuffle, so a key may be any size.
     Adds ``keep`` and ``reason``: the first key, in order, that a kept row
     before it has. Null keys equal each other; order must be unique.
     """
@@ -36,8 +36,8 @@ def greedy_dedup(df: DataFrame, order: str, keys: list[str], reasons: tuple[str,
     while not todo.isEmpty():
         first = todo
         for k in ks:
-            first = first.withColumn(f"_m{k}", F.min("_o").over(Window.partitionBy(k)))
-        win = cut(first.where(reduce(lambda a, b: a & b, [F.col("_o") == F.col(f"_m{k}") for k in ks])).select("_o", *ks))
+            first = first.join(todo.groupBy(k).agg(F.min("_o").alias("_o")), [k, "_o"], "left_semi")
+        win = cut(first.select("_o", *ks))
         kept = win if kept is None else kept.unionByName(win)
         for k in ks:
             todo = todo.join(win.select(k).distinct(), k, "left_anti")
@@ -95,18 +95,26 @@ def minhash(df: DataFrame, id_col: str, text_col: str, *, n_perm: int = 256, ngr
     Products wrap at 64 bits before the remainder, as unsigned machine words do.
     """
     ab = np.array(permutations(n_perm), dtype=np.uint64)
+    a, b, low32, prime = ab[:, :1].copy(), ab[:, 1:].copy(), np.uint64((1 << 32) - 1), np.uint64(PRIME)
+
+    def sign(own: set[str]) -> np.ndarray:
+        low = np.full(n_perm, low32, np.uint64)
+        v = np.frombuffer(b"".join([sha1(x.encode()).digest()[:4] for x in own]), "<u4").astype(np.uint64)
+        for at in range(0, len(v), 64):  # parts that stay in the cache
+            x = v[at : at + 64] * a
+            x += b
+            x = (x & prime) + (x >> np.uint64(61))
+            x = np.where(x >= prime, x - prime, x)  # the remainder by a Mersenne prime
+            x &= low32
+            np.minimum(low, x.min(1), out=low)
+        return low
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column("t").to_pylist():
                 words = _PARTS.split(text)
-                own = {" ".join(words[i : i + ngram]) for i in range(len(words) - ngram + 1)} if len(words) >= least else ()
-                v = np.array([int.from_bytes(sha1(x.encode()).digest()[:4], "little") for x in own], np.uint64)
-                low = np.full(n_perm, (1 << 32) - 1, np.uint64)
-                for at in range(0, len(v), 128):  # parts that stay in the cache
-                    low = np.minimum(low, ((v[at : at + 128, None] * ab[:, 0] + ab[:, 1]) % np.uint64(PRIME) & np.uint64((1 << 32) - 1)).min(0))
-                out.append(low)
+                out.append(sign({" ".join(words[i : i + ngram]) for i in range(len(words) - ngram + 1)} if len(words) >= least else set()))
             flat = np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, n_perm, dtype=np.int32), pa.array(flat))
             yield pa.record_batch([batch.column("id"), lists], names=["id", "signature"])
@@ -116,11 +124,15 @@ def minhash(df: DataFrame, id_col: str, text_col: str, *, n_perm: int = 256, ngr
 
 
 def minhash_edges(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(a, b): every id that shares a band with others, and the least id there."""
-    key = lambda k: F.md5(F.array_join(F.slice("signature", 1 + k * rows, rows), ","))
-    banded = signed.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), key(k).alias("v")) for k in range(bands)])).alias("x")).select("id", "x.k", "x.v")
-    low = banded.withColumn("b", F.min("id").over(Window.partitionBy("k", "v")))  # a join would sign every text twice
-    return low.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    """(a, b): every id that shares a band with others, and the least id there.
+
+    Texts are signed once: their bands, 16 bytes each, are kept in the shared
+    folder. A band's ids are reduced to the least one before the shuffle.
+    """
+    key = lambda k: F.unhex(F.md5(F.array_join(F.slice("signature", 1 + k * rows, rows), ",")))
+    banded = cut(signed.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), key(k).alias("v")) for k in range(bands)])).alias("x")).select("id", "x.k", "x.v"))
+    low = banded.groupBy("k", "v").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return banded.join(low, ["k", "v"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def minhash_clusters(df: DataFrame, id_col: str, text_col: str, *, n_perm: int = 256, threshold: float = 0.7, ngram: int = 5, least: int = 10, shape: tuple[int, int] | None = None) -> DataFrame:

@@ -17,9 +17,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     either way, lead from an id to itself, or have a null end are allowed;
     a null end names nothing. Raises RuntimeError beyond ``most_rounds``.
     """
-    both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    named = cut(both.select("u").union(both.select("v")).distinct())
-    e = cut(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    both = cut(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    named = both.select("u").union(both.select("v")).distinct()
+    e = both.where("u <> v")
     seen = None
     for _ in range(most_rounds):
         twice = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
-from weft.operators import analysis, decontam, dedup, formatting, mining, sampling, sft, similarity
+from weft.operators import analysis, benchmarks, cleaning, decontam, dedup, formatting, mining, sampling, sft, similarity
+from weft.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,6 +83,65 @@ def benchmark_lib_filter(t: Tables) -> DataFrame:
     return _patterns(t).where((F.col("benchmark") != "b2") & (F.length(T.strip("pattern")) > 0)).select("benchmark", "item_ord")
 
 
+@query(f"SELECT doc_id, {_strip('text')} AS pattern FROM documents WHERE doc_id BETWEEN 11 AND 110")
+def bench_task_range(t: Tables) -> DataFrame:
+    return benchmarks.texts(benchmarks.task_range(t.documents.select("doc_id", F.col("text").alias("pattern")), "doc_id", 11, 110, 100), "pattern")
+
+
+@query(f"SELECT doc_id, {_strip('text')} AS pattern FROM documents")
+def bench_docstrings(t: Tables) -> DataFrame:
+    q, m = F.lit('"""'), F.col("doc_id") % 3
+    prompt = F.when(m == 0, F.concat(F.lit("def f():\n    "), q, "text", q)).when(m == 1, F.concat(F.lit("def g():\n "), q, F.lit("helper"), q, F.lit("\ndef f():\n "), q, "text", q, F.lit("\n"))).otherwise(F.concat(F.lit("def f():\n  '''"), "text", F.lit("'''\n")))
+    return t.documents.select("doc_id", benchmarks.quoted_docstring(prompt).alias("pattern"))
+
+
+@query(f"SELECT doc_id, {_strip('text')} AS pattern FROM documents WHERE doc_id % 4 <> 0 AND {_strip('text')} <> ''")
+def bench_solutions(t: Tables) -> DataFrame:
+    """Every fourth solution is a generic one, with blanks around."""
+    own = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, benchmarks.GENERIC)), (F.col("doc_id") / 4 % 4 + 1).cast("int")), F.lit("\n"))).otherwise(F.col("text"))
+    return benchmarks.texts(t.documents.select("doc_id", own.alias("pattern")), "pattern", drop=benchmarks.GENERIC)
+
+
+@query(f"SELECT item_id, {_strip('text')} AS question FROM benchmark WHERE {_strip('text')} <> ''")
+def bench_questions(t: Tables) -> DataFrame:
+    return benchmarks.texts(t.benchmark.select("item_id", F.concat(F.lit(" \n"), "text", F.lit("\t")).alias("question")), "question")
+
+
+@query("SELECT id, (unnest(range(len(s))))::INTEGER AS item, unnest(s) AS solution FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS s FROM documents WHERE doc_id % 3 <> 0)")
+def bench_json_solutions(t: Tables) -> DataFrame:
+    raw = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.to_json(F.split("text", "\n")))
+    return benchmarks.json_solutions(t.documents.select("doc_id", raw.alias("solutions")), "doc_id", "solutions")
+
+
+@query("SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '# ' ELSE chr(10) END AS pattern FROM documents")
+def bench_before_mark(t: Tables) -> DataFrame:
+    mark = F.when(F.col("doc_id") % 2 == 0, F.lit("\n# SOLUTION START\n")).otherwise(F.lit("\nBEGIN SOLUTION\n<code>"))
+    return t.documents.select("doc_id", benchmarks.before_mark(F.concat("text", mark, F.lit("after"))).alias("pattern"))
+
+
+@query(f"SELECT s || '-' || l || v AS name, count(*) AS n, sum(length({_strip('text')}))::BIGINT AS chars FROM benchmark, (SELECT unnest(['humaneval', 'humaneval', 'mbpp']) AS s, unnest(['', '-remove', '']) AS v), (SELECT unnest({benchmarks.LANGUAGES}) AS l) GROUP BY ALL")
+def bench_translated(t: Tables) -> DataFrame:
+    own = t.benchmark.select(F.col("text").alias("prompt"))
+    return benchmarks.translated_docstrings(t.spark, lambda name: own).groupBy("name").agg(F.count("*").alias("n"), F.sum(F.length("prompt")).alias("chars"))
+
+
+@query(f"SELECT benchmark, bench_ord, count(*) AS n FROM (SELECT CASE bench_ord WHEN 0 THEN 0 ELSE bench_ord - 1 END AS bench_ord, benchmark FROM {PATTERNS} WHERE benchmark <> 'b1') GROUP BY ALL")
+def bench_ignored(t: Tables) -> DataFrame:
+    own = [(f"b{k}", t.benchmark.where(F.col("item_id") % 4 == k).select(F.col("item_id").alias("item_ord"), F.col("text").alias("pattern"))) for k in range(4)]
+    return decontam.pattern_table(*own, ignored={"b1"}).groupBy("benchmark", "bench_ord").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, lang AS metric_lang FROM documents")
+def lang_of_metric(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("out/run.d/multiple-"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit("-0.2.json"))
+    return t.documents.select("doc_id", io.lang_of_metric(name).alias("metric_lang"))
+
+
+@query("SELECT doc_id, 'All ' || source || ' \\& ' || lang AS label FROM documents")
+def chart_label(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.chart_label(F.concat(F.lit("All "), "source", F.lit(" HardProblems: and "), "lang")).alias("label"))
+
+
 # --- formatting --------------------------------------------------------------
 
 
@@ -99,8 +159,12 @@ def _resp() -> Column:
     return _part(1, 2)
 
 
-#: The SQL is of the first 500 characters, and so no oracle of the queries, which take the whole text.
-SI, SR = "substr(text, 1, 200)", "substr(text, 201, 300)"
+def _part_sql(k: int, n: int) -> str:
+    at = lambda i: f"ceil(length(text) * {i} / {n})::BIGINT"
+    return f"substr(text, {at(k)} + 1, {at(k + 1)} - {at(k)})"
+
+
+SI, SR = _part_sql(0, 2), _part_sql(1, 2)
 
 
 @query(f"SELECT doc_id, {SI} AS instruction, {SR} AS response FROM documents")
@@ -109,7 +173,7 @@ def fmt_evol(t: Tables) -> DataFrame:
     return d.withColumnRenamed("output", "response")
 
 
-@query(f"SELECT doc_id, CASE WHEN {_strip('x')} = '' THEN {SI} ELSE {SI} || chr(10) || 'Input: ' || x END AS instruction FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(160) ELSE {SR} END AS x FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN {_strip('x')} = '' THEN i ELSE i || chr(10) || 'Input: ' || x END AS instruction FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE {SI} END AS i, CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(160) ELSE {SR} END AS x FROM documents)")
 def fmt_with_input(t: Tables) -> DataFrame:
     extra = F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(_resp())
     return t.documents.select("doc_id", formatting.with_input(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(_instr()), extra).alias("instruction"))
@@ -149,8 +213,7 @@ def combine_union(t: Tables) -> DataFrame:
     return formatting.combine(_turns(t), t.documents.select(_instr().alias("instruction"), _resp().alias("response")))
 
 
-#: MARKED, FENCED, PY and COMMENT are of parts of the texts, and so no oracles of the queries, which take whole texts.
-MARKED = "CASE doc_id % 4 WHEN 0 THEN 'Intro' || chr(10) || '[Problem description]' || chr(10) || substr(text, 1, 80) || chr(10) || 'the [SOLUTION] is' || chr(10) || substr(text, 81, 80) WHEN 1 THEN '[solution]' || chr(10) || text || chr(10) || '[problem description]' WHEN 2 THEN '[Problem description]' || chr(10) || '[Solution]' || chr(10) ELSE text END"
+MARKED = f"CASE doc_id % 4 WHEN 0 THEN 'Intro' || chr(10) || '[Problem description]' || chr(10) || {SI} || chr(10) || 'the [SOLUTION] is' || chr(10) || {SR} WHEN 1 THEN '[solution]' || chr(10) || text || chr(10) || '[problem description]' WHEN 2 THEN text || chr(10) || '[Problem description]' || chr(10) || '[Solution]' || chr(10) ELSE text END"
 
 
 def _marked() -> Column:
@@ -175,7 +238,7 @@ def parse_valid(t: Tables) -> DataFrame:
     return x.where("x is not null and x.problem <> '' and x.solution <> ''").select("doc_id")
 
 
-FENCED = "substr(text, 1, 50) || chr(10) || '  ```python' || chr(10) || substr(text, 51, 60) || chr(10) || '```' || chr(10) || 'mid' || chr(10) || '```' || chr(10) || substr(text, 111, (30 * (doc_id % 3))::BIGINT) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '```' ELSE '' END"
+FENCED = f"{_part_sql(0, 3)} || chr(10) || '  ```python' || chr(10) || {_part_sql(1, 3)} || chr(10) || '```' || chr(10) || 'mid' || chr(10) || '```' || chr(10) || {_part_sql(2, 3)} || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '```' ELSE '' END"
 
 
 def _fenced() -> Column:
@@ -184,15 +247,24 @@ def _fenced() -> Column:
 
 
 BLOCKS = f"""list_transform(range(len(fences) // 2), lambda k: array_to_string(ls[fences[2 * k + 1] + 1 : fences[2 * k + 2] - 1], ''))"""
-BLOCKS_FROM = f"""(SELECT *, list_filter(range(1, len(ls) + 1), lambda i: starts_with({_strip('ls[i]')}, '```')) AS fences FROM (SELECT doc_id, {_lines('y')} AS ls FROM (SELECT doc_id, {FENCED} AS y FROM documents)))"""
 
 
-@query(f"SELECT doc_id, array_to_string({BLOCKS}, '|') AS blocks, (len(fences) // 2)::INTEGER AS n FROM {BLOCKS_FROM}")
+def _fences_sql(y: str) -> str:
+    return f"(SELECT *, list_filter(range(1, len(ls) + 1), lambda i: starts_with({_strip('ls[i]')}, '```')) AS fences FROM (SELECT doc_id, {_lines('y')} AS ls FROM (SELECT doc_id, {y} AS y FROM documents)))"
+
+
+@query(f"SELECT doc_id, array_to_string({BLOCKS}, '|') AS blocks, (len(fences) // 2)::INTEGER AS n FROM {_fences_sql(FENCED)}")
 def codeblocks(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.codeblocks(_fenced()).alias("b")).select("doc_id", F.array_join("b", "|").alias("blocks"), F.size("b").alias("n"))
 
 
-@query("SELECT doc_id, doc_id % 5 = 0 AS copied FROM documents")
+_OWN = "'code ' || doc_id || chr(10) || text"
+_SEE = "'See' || chr(10) || '```' || chr(10) || {} || chr(10) || '```' || chr(10)"
+_BARE_BLOCKS = f"list_transform({BLOCKS}, lambda b: regexp_replace(b, '{WS}', '', 'g'))"
+
+
+@query(f"""SELECT doc_id, list_has_any(p.b, s.b) AS copied FROM (SELECT doc_id, {_BARE_BLOCKS} AS b FROM {_fences_sql(_SEE.format(_OWN))}) p
+JOIN (SELECT doc_id, {_BARE_BLOCKS} AS b FROM {_fences_sql(_SEE.format(f"CASE WHEN doc_id % 5 = 0 THEN '  ' || {_OWN} || chr(10) ELSE {_OWN} || 'x' END"))}) s USING (doc_id)""")
 def codeblock_copy(t: Tables) -> DataFrame:
     block = lambda x: F.concat(F.lit("See\n```\n"), x, F.lit("\n```\n"))
     own = F.concat(F.lit("code "), F.col("doc_id").cast("string"), F.lit("\n"), "text")
@@ -212,14 +284,14 @@ def lang_split_fence(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(F.contains(y, F.lit("```python")), "python").otherwise("other").alias("side"))
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, {_strip('y')} AS x FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '----' WHEN 1 THEN ' ' ELSE text END AS y FROM documents)) WHERE length(x) > 0 AND length(replace(x, substr(x, 1, 1), '')) > 0")
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_strip('y')} AS x FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN repeat(substr(text, 1, 1), length(text)) WHEN 1 THEN regexp_replace(text, '[^\\n]', ' ', 'g') ELSE text END AS y FROM documents)) WHERE length(x) > 0 AND length(replace(x, substr(x, 1, 1), '')) > 0")
 def doc_repeat_char(t: Tables) -> DataFrame:
     m = F.col("doc_id") % 3
-    y = F.when(m == 0, F.lit("----")).when(m == 1, F.lit(" ")).otherwise(F.col("text"))
+    y = F.when(m == 0, F.repeat(F.substring("text", 1, 1), F.length("text"))).when(m == 1, F.regexp_replace("text", "[^\n]", " ")).otherwise(F.col("text"))
     return t.documents.where(formatting.docstring_useful(y)).select("doc_id")
 
 
-PY = "CASE doc_id % 3 WHEN 0 THEN 'def f():' || chr(10) || '    \"\"\"' || text || '\"\"\"' || chr(10) || '    return 1' WHEN 1 THEN 'def g():' || chr(10) || '  ' || repeat(chr(39), 3) || substr(text, 1, 20) || repeat(chr(39), 3) || chr(10) || '  pass' ELSE 'def h(): pass' END"
+PY = "CASE doc_id % 3 WHEN 0 THEN 'def f():' || chr(10) || '    \"\"\"' || text || '\"\"\"' || chr(10) || '    return 1' WHEN 1 THEN 'def g():' || chr(10) || '  ' || repeat(chr(39), 3) || text || repeat(chr(39), 3) || chr(10) || '  pass' ELSE 'def h(): pass' || chr(10) || text END"
 
 
 @query(f"""SELECT doc_id, substr(y, 1, e) AS prompt, substr(y, e + 1) AS completion FROM (SELECT doc_id, y, CASE WHEN p > 0 THEN p + 2 + instr(substr(y, p + 3), q) + 2 END AS e FROM (
@@ -242,7 +314,7 @@ def pair_generic(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", x.alias("x")).select("doc_id", "x.prompt", "x.completion")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE y END AS content FROM (SELECT *, text AS y FROM documents)")
+@query("SELECT doc_id, CASE WHEN regexp_matches(y, '^<(reponame|filename)>') THEN substr(y, instr(y, chr(10)) + 1) ELSE y END AS content FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<reponame>some/place' || chr(10) ELSE '' END || text AS y FROM documents)")
 def strip_header(t: Tables) -> DataFrame:
     y = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<reponame>some/place\n"), "text")).otherwise(F.col("text"))
     return t.documents.select("doc_id", T.strip_header(y).alias("content"))
@@ -265,7 +337,11 @@ def map_assert_prompt(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", formatting.assert_prompt(y).alias("instruction"))
 
 
-@query()
+_TOLD = _strip("replace(text, 'A:', 'A ')")
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_sql_text(formatting.ASK + formatting.OPEN)} || p || {_sql_text(formatting.CLOSE)} ELSE p END AS instruction,
+CASE doc_id % 3 WHEN 0 THEN {_sql_text(formatting.OPEN)} || p WHEN 1 THEN {_sql_text(formatting.OPEN)} || 'x = 1' ELSE {_sql_text(formatting.OPEN)} || 'x = 1' || chr(10) || '# put it in y' END || {_sql_text(chr(10) + '# Solution' + chr(10))} AS response FROM (SELECT doc_id, {_TOLD} AS p FROM documents)""")
 def map_completion_prompt(t: Tables) -> DataFrame:
     m = F.col("doc_id") % 3
     body = F.replace(F.col("text"), F.lit("A:"), F.lit("A "))
@@ -333,9 +409,14 @@ def decontam_incremental(t: Tables) -> DataFrame:
 # --- joins -------------------------------------------------------------------
 
 
-@query("SELECT doc_id, source, lang FROM documents WHERE doc_id % 2 = 0")
+#: Lines and two numbers of each document, that give its seed.
+SEEDS = f"""(SELECT doc_id AS raw_index, array_to_string(ls[a % len(ls) + 1 : a % len(ls) + n % 15 + 1], '') AS seed FROM (SELECT doc_id, {_lines('text')} AS ls,
+('0x' || substr(md5('976:start:' || doc_id), 1, 8))::BIGINT AS a, ('0x' || substr(md5('976:size:' || doc_id), 1, 8))::BIGINT AS n FROM documents) WHERE len(ls) > 0)"""
+
+
+@query(f"SELECT d.doc_id, d.source, d.lang FROM documents d LEFT JOIN {SEEDS} s ON s.raw_index = d.doc_id WHERE contains(d.text, coalesce(s.seed, ''))")
 def seed_lookup(t: Tables) -> DataFrame:
-    """Looks a seed of every document up in its text. The SQL is of the even documents, and so no oracle."""
+    """Looks a seed of every document up in its text."""
     drawn = sampling.seed_snippets(t.documents, "doc_id", "text")
     seeds = t.documents.select("lang", F.col("doc_id").alias("raw_index")).join(drawn, "raw_index", "left").withColumn("seed", F.coalesce("seed", F.lit("")))
     docs = t.documents.select("lang", F.col("doc_id").alias("raw_index"), "text", "source")
@@ -435,6 +516,18 @@ def centroid_mean(t: Tables) -> DataFrame:
     return t.embeddings.rollup("label").agg(*xy)
 
 
+@query("SELECT conv_id, turn, coalesce(instruction, '') || ' ' || coalesce(response, '') AS text FROM " + TURNS)
+def similarity_text(t: Tables) -> DataFrame:
+    d = _turns(t)
+    return d.select("conv_id", "turn", similarity.text_of(d, "codealpaca").alias("text"))
+
+
+@query(SQL["embed_nearest_query"])
+def embed_classify(t: Tables) -> DataFrame:
+    """The nearest of the labels' first vectors; every label has to be some row's."""
+    return similarity.classify(t.embeddings, _label_queries(t), "vec_id", "embedding", "label")
+
+
 # --- reports -----------------------------------------------------------------
 
 LABELLED = "(SELECT d.doc_id, d.lang, coalesce(l.quality, 1) = 1 AS keep, CASE WHEN l.quality = 0 THEN CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'poor' END END AS reason FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
@@ -488,7 +581,7 @@ def _three_keys(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat(F.md5(F.concat(F.lit("666:"), F.col("doc_id").cast("string"))), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("ord"), x.alias("seed"), whole(_instr()).alias("problem"), whole(_resp()).alias("solution"))
 
 
-@query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('666:' || doc_id)) AS rn, doc_id, md5(regexp_replace(split_part(text, chr(10), 1), '{WS}', '', 'g')) AS s, md5(regexp_replace(substr(text, 1, 40), '{WS}', '', 'g')) AS p, md5(regexp_replace(right(text, 40), '{WS}', '', 'g')) AS q FROM documents),
+@query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('666:' || doc_id)) AS rn, doc_id, md5(regexp_replace(text, '{WS}', '', 'g')) AS s, md5(regexp_replace(CASE WHEN {_strip(SI)} = '' THEN text ELSE {SI} END, '{WS}', '', 'g')) AS p, md5(regexp_replace(CASE WHEN {_strip(SR)} = '' THEN text ELSE {SR} END, '{WS}', '', 'g')) AS q FROM documents),
 r AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS doc_id, false AS keep, NULL::VARCHAR AS reason, []::VARCHAR[] AS s, []::VARCHAR[] AS p, []::VARCHAR[] AS q
 UNION ALL SELECT k.rn, k.doc_id, x.why IS NULL, x.why, CASE WHEN x.why IS NULL THEN list_append(r.s, k.s) ELSE r.s END, CASE WHEN x.why IS NULL THEN list_append(r.p, k.p) ELSE r.p END, CASE WHEN x.why IS NULL THEN list_append(r.q, k.q) ELSE r.q END
 FROM r JOIN k ON k.rn = r.rn + 1, LATERAL (SELECT CASE WHEN list_contains(r.s, k.s) THEN 'duplicate seeds' WHEN list_contains(r.p, k.p) THEN 'duplicate problems' WHEN list_contains(r.q, k.q) THEN 'duplicate solutions' END AS why) x)
@@ -497,18 +590,36 @@ def clean_greedy3(t: Tables) -> DataFrame:
     return dedup.clean_three_keys(_three_keys(t), "ord").select("doc_id", "keep", "reason")
 
 
+#: Rows of the cleaning job: the keys of clean_greedy3, in the order that the job shuffles to.
+CLEANED = SQL["clean_greedy3"].removesuffix("SELECT doc_id, keep, reason FROM r WHERE rn > 0")
+
+
+def _job(t: Tables) -> cleaning.Cleaned:
+    return cleaning.clean(_three_keys(t).drop("ord").join(t.documents.select("doc_id", "lang"), "doc_id"), id_col="doc_id")
+
+
+@query(CLEANED + "SELECT lang, reason, count(*) AS n FROM (SELECT * FROM r WHERE rn > 0) r JOIN documents USING (doc_id) WHERE NOT keep GROUP BY ALL")
+def clean_job_reasons(t: Tables) -> DataFrame:
+    return _job(t).by_reason
+
+
+@query(CLEANED + f", l AS (SELECT r.*, d.lang FROM (SELECT * FROM r WHERE rn > 0) r JOIN documents d USING (doc_id)) SELECT lang, count(*) AS total, count(*) FILTER (WHERE keep) AS chosen, count(*) FILTER (WHERE NOT keep) AS rejected, {_RATIO} AS chosen_ratio FROM l GROUP BY lang")
+def clean_job_report(t: Tables) -> DataFrame:
+    return _job(t).by_lang
+
+
+@query(CLEANED + f"""SELECT d.lang || '-' || replace(reason, ' ', '_') || '-' || (row_number() OVER (PARTITION BY d.lang, reason ORDER BY r.rn) - 1) AS file, '[Seed]' || chr(10) || d.text || chr(10) || chr(10) || '[Problem]' || chr(10) || CASE WHEN {_strip(SI)} = '' THEN text ELSE {SI} END || chr(10) || chr(10) || '[Solution]' || chr(10) || CASE WHEN {_strip(SR)} = '' THEN text ELSE {SR} END AS text
+FROM (SELECT * FROM r WHERE rn > 0) r JOIN documents d USING (doc_id) WHERE NOT keep QUALIFY row_number() OVER (PARTITION BY d.lang, reason ORDER BY r.rn) <= 5""")
+def clean_job_examples(t: Tables) -> DataFrame:
+    return _job(t).examples
+
+
 # --- near dedup --------------------------------------------------------------
 
 #: The operator's own setting, and the reference's.
 PERMS, SHAPE = 256, dedup.band_shape(0.7, 256)
-#: The SQL is of 8 permutations in bands of 2, and so no oracle of minhash_signature and what follows from it.
-N_PERM = 8
-_AB = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(dedup.permutations(N_PERM)))
+#: SQL of 256 permutations takes DuckDB over ten minutes on 1000 documents; tests/test_whole.py has these queries in plain Python.
 SHINGLE = """w AS (SELECT doc_id, string_split_regex(text, '[^A-Za-z_0-9]') AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 10))"""
-MINHASH = f"""WITH {SHINGLE}, h AS (SELECT doc_id, ('0x' || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2))::BIGINT::HUGEINT AS h FROM (SELECT doc_id, sha1(g) AS s FROM g)),
-ab(i, a, b) AS (VALUES {_AB}), m AS (SELECT d.doc_id, ab.i, coalesce(x.v, 4294967295) AS v FROM documents d CROSS JOIN ab LEFT JOIN (SELECT doc_id, i, min((((h * a + b) % 18446744073709551616) % 2305843009213693951) % 4294967296)::BIGINT AS v FROM h, ab GROUP BY 1, 2) x ON x.doc_id = d.doc_id AND x.i = ab.i)"""
-BANDS = MINHASH + ", bd AS (SELECT doc_id, i // 2 AS k, string_agg(v::VARCHAR, ',' ORDER BY i) AS s FROM m GROUP BY 1, 2), e AS (SELECT DISTINCT doc_id AS a, low AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY k, s) AS low FROM bd) WHERE doc_id <> low)"
-LABELS = BANDS.replace("WITH w", "WITH RECURSIVE w", 1) + ", u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), rc(id, l) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.a, rc.l FROM rc JOIN u ON u.b = rc.id WHERE rc.l < u.a)"
 
 
 def _signed(t: Tables) -> DataFrame:
@@ -520,12 +631,12 @@ def shingle_distinct(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(T.shingles("text", 5, 10)).cast("bigint").alias("n"))
 
 
-@query(MINHASH + " SELECT doc_id AS id, string_agg(v::VARCHAR, ',' ORDER BY i) AS signature FROM m GROUP BY 1")
+@query()
 def minhash_signature(t: Tables) -> DataFrame:
     return _signed(t).select("id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
-@query(BANDS + " SELECT a, b FROM e")
+@query()
 def minhash_edges(t: Tables) -> DataFrame:
     return dedup.minhash_edges(_signed(t), *SHAPE)
 
@@ -534,17 +645,17 @@ def _clusters(t: Tables) -> DataFrame:
     return dedup.minhash_clusters(t.documents, "doc_id", "text", n_perm=PERMS, shape=SHAPE)
 
 
-@query(LABELS + " SELECT id, min(l) AS cluster FROM rc GROUP BY id")
+@query()
 def minhash_clusters(t: Tables) -> DataFrame:
     return _clusters(t)
 
 
-@query(LABELS + " SELECT id AS doc_id FROM rc GROUP BY id HAVING min(l) = id")
+@query()
 def minhash_keep(t: Tables) -> DataFrame:
     return _clusters(t).where("id = cluster").select(F.col("id").alias("doc_id"))
 
 
-@query(LABELS + " SELECT count(*) AS before, count(*) FILTER (WHERE id = l) AS after, count(*) FILTER (WHERE id <> l) AS dropped, round(count(*) FILTER (WHERE id = l) / count(*), 9) AS kept FROM (SELECT id, min(l) AS l FROM rc GROUP BY id)")
+@query()
 def dedup_report(t: Tables) -> DataFrame:
     c = _clusters(t).agg(F.count("*").alias("before"), F.count_if(F.col("id") == F.col("cluster")).alias("after"))
     return c.select("before", "after", (F.col("before") - F.col("after")).alias("dropped"), F.round(F.col("after") / F.col("before"), 9).alias("kept"))
@@ -590,8 +701,7 @@ def train_test_split(t: Tables) -> DataFrame:
     return sampling.train_test(t.documents.select("doc_id"), "doc_id", 0.1, 42)
 
 
-@query(f"""SELECT doc_id AS raw_index, array_to_string(ls[a % len(ls) + 1 : a % len(ls) + n % 15 + 1], '') AS seed FROM (SELECT doc_id, {_lines('text')} AS ls,
-('0x' || substr(md5('976:start:' || doc_id), 1, 8))::BIGINT AS a, ('0x' || substr(md5('976:size:' || doc_id), 1, 8))::BIGINT AS n FROM documents) WHERE len(ls) > 0""")
+@query(f"SELECT * FROM {SEEDS}")
 def seed_snippet(t: Tables) -> DataFrame:
     return sampling.seed_snippets(t.documents, "doc_id", "text")
 
@@ -622,7 +732,7 @@ def ts_format(t: Tables) -> DataFrame:
 
 # --- mining ------------------------------------------------------------------
 
-COMMENT = "'/** ' || substr(text, 1, 60) || chr(10) || ' * second */' || chr(10) || '// third ' || chr(10) || '///fourth*/'"
+COMMENT = "'/** ' || text || chr(10) || ' * second */' || chr(10) || '// third ' || chr(10) || '///fourth*/'"
 
 
 @query(f"""SELECT doc_id, {_strip("array_to_string(list_transform(string_split(y, chr(10)), lambda l: " + _strip("regexp_replace(regexp_replace(" + _strip("l") + ", '[*]/\\z', ''), '^([*]|/[*][*]|/[*]|///|//)', '')") + "), chr(10))")} AS comment FROM (SELECT doc_id, {COMMENT} AS y FROM documents)""")
@@ -631,7 +741,7 @@ def strip_comment(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.strip_comment(y).alias("comment"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(y, chr(10) || chr(10)) THEN split_part(y, chr(10) || chr(10), 1) WHEN contains(y, '@') THEN split_part(y, '@', 1) ELSE y END AS summary FROM (SELECT doc_id, substr(text, 1, 100) || CASE doc_id % 3 WHEN 0 THEN chr(10) || chr(10) || 'more' WHEN 1 THEN '@param x' ELSE '' END AS y FROM documents)")
+@query("SELECT doc_id, CASE WHEN contains(y, chr(10) || chr(10)) THEN split_part(y, chr(10) || chr(10), 1) WHEN contains(y, '@') THEN split_part(y, '@', 1) ELSE y END AS summary FROM (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN chr(10) || chr(10) || 'more' WHEN 1 THEN '@param x' ELSE '' END AS y FROM documents)")
 def doc_summary(t: Tables) -> DataFrame:
     m = F.col("doc_id") % 3
     y = F.concat("text", F.when(m == 0, F.lit("\n\nmore")).when(m == 1, F.lit("@param x")).otherwise(F.lit("")))
@@ -646,22 +756,32 @@ f AS (SELECT *, substr(text, lag(stop) OVER w + 1, begin - lag(stop) OVER w) AS
 i AS (SELECT *, sum(CASE WHEN regexp_replace(gap, '[ \\t\\r\\n]', '', 'g') = '' AND length(gap) - length(replace(gap, chr(10), '')) = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS isl FROM f)
 SELECT doc_id, min(begin) AS begin, max(stop) AS stop, min(line) AS first, max(line) AS last, md5(string_agg(content, chr(10) ORDER BY line)) AS content FROM i GROUP BY doc_id, isl""")
 def comment_islands(t: Tables) -> DataFrame:
-    spans = t.documents.select("doc_id", "text", T.lines("text").alias("ls")).select("doc_id", "text", F.posexplode("ls").alias("k", "content"))
+    spans = t.documents.select("doc_id", F.posexplode(T.lines("text")).alias("k", "content"))
     w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     own = spans.withColumns({"line": F.col("k").cast("bigint") + 1, "begin": F.coalesce(F.sum(F.length("content")).over(w), F.lit(0))}).withColumn("content", F.regexp_replace("content", "[\n\r]", ""))
-    c = own.where("line % 3 <> 0").select("doc_id", "text", "begin", (F.col("begin") + F.length("content")).alias("stop"), F.col("line").alias("first"), F.col("line").alias("last"), "content")
-    return mining.comment_islands(c, "doc_id", "text").withColumn("content", F.md5("content"))
+    c = own.where("line % 3 <> 0").select("doc_id", "begin", (F.col("begin") + F.length("content")).alias("stop"), F.col("line").alias("first"), F.col("line").alias("last"), "content")
+    return mining.comment_islands(c, t.documents, "doc_id", "text").withColumn("content", F.md5("content"))
 
 
-@query()
+@query("SELECT doc_id, 'f_' || doc_id AS name, 'def f_' || doc_id || '():' || chr(10) || '    ' || to_json(lang) || chr(10) || '    return {\"text\":' || to_json(text) || '}' || chr(10) AS content, lang AS docstring, 1::INTEGER AS start_line, 3::INTEGER AS end_line FROM documents")
 def python_functions(t: Tables) -> DataFrame:
-    code = F.concat(F.lit("def f_"), F.col("doc_id").cast("string"), F.lit("():\n    "), F.to_json(F.struct("lang")).substr(9, 4), F.lit("\n    return "), F.col("n_chars").cast("string"), F.lit("\n"))
+    said = F.regexp_extract(F.to_json(F.struct("lang")), r'^\{"lang":(.*)\}$', 1)
+    code = F.concat(F.lit("def f_"), F.col("doc_id").cast("string"), F.lit("():\n    "), said, F.lit("\n    return "), F.to_json(F.struct("text")), F.lit("\n"))
     src = t.documents.select("doc_id", code.alias("code"))
     src.createOrReplaceTempView("weft_sources")
     t.spark.udtf.register("weft_python_functions", mining.PythonFunctions)
     return t.spark.sql("SELECT doc_id, f.name, f.content, f.docstring, f.start_line, f.end_line FROM weft_sources, LATERAL weft_python_functions(code) f")
 
 
+@query(f"""SELECT doc_id, 'f' || doc_id AS name, 'int f' || doc_id || '(int a, char *b) {{' || chr(10) || '  // inner' || chr(10) || '  if (a) {{ return g(b); }}' || chr(10) || '  return ' || n_chars || ';' || chr(10) || '}}' AS "function", 'about ' || lang || chr(10) || 'it' AS docstring, 3::INTEGER AS start_line, 7::INTEGER AS end_line FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 'h', 'void h() {{ }}', '', 11::INTEGER, 11::INTEGER FROM documents WHERE doc_id % 2 = 1""")
+def function_pairs(t: Tables) -> DataFrame:
+    """The seed is a line of the first function, or the second function."""
+    parts = [F.lit("/* about "), "lang", F.lit("\n * it */\nint f"), F.col("doc_id").cast("string"), F.lit("(int a, char *b) {\n  // inner\n  if (a) { return g(b); }\n  return "), F.col("n_chars").cast("string"), F.lit(";\n}\n\n// far\nint y;\nvoid h() { }\n")]
+    seed = F.when(F.col("doc_id") % 2 == 0, F.lit("<filename>a/b.c\n  // inner\n")).otherwise(F.lit("int y;\nvoid h() { }\n"))
+    return mining.function_pairs(t.documents.select("doc_id", F.lit("cpp").alias("lang"), F.concat(*parts).alias("content"), seed.alias("seed")))
+
+
 # --- token arrays ------------------------------------------------------------
 
 IDS = "list_transform(list_filter(string_split({}, ''), lambda c: c <> ''), lambda c: unicode(c))"
@@ -672,7 +792,20 @@ def encode_bos_eos(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.array_join(sft.marked(sft.code_points(F.col("text")), 1, 2), ",").alias("ids"))
 
 
-#: The reference's length. The SQL is of 512 tokens, and so no oracle of these four queries.
+@query("SELECT conv_id, turn, text FROM conversations")
+def decode_skip_special(t: Tables) -> DataFrame:
+    """Texts encoded with marks at both ends, decoded again without them."""
+    ids = sft.marked(sft.code_points(F.col("text")), 1, 2)
+    return t.conversations.select("conv_id", "turn", sft.text_of_code_points(ids).alias("text"))
+
+
+@query("SELECT doc_id, least(16384 - n_chars, 512, 12000 - n_chars) AS room FROM documents WHERE n_chars < 16384")
+def generation_room(t: Tables) -> DataFrame:
+    g = sft.Generation(most_new=512, temperature=0.0, most_length=12000)
+    return t.documents.where("n_chars < 16384").select("doc_id", g.room(F.col("n_chars"), sft.context_of("codellama/CodeLlama-7b-Python-hf")).alias("room"))
+
+
+#: The reference's length.
 MOST = 1216
 
 
@@ -680,7 +813,7 @@ def _examples(t: Tables) -> DataFrame:
     return sft.examples(_turns(t), sft.marked(sft.code_points(F.col("instruction")), bos=1), sft.marked(sft.code_points(F.col("response")), eos=2), MOST)
 
 
-EX = f"(SELECT conv_id, turn, list_concat(p, c)[1 : 512] AS ids, list_concat(list_transform(p, lambda x: -100), c)[1 : 512] AS labels, len(p) + len(c) > 512 AS over FROM (SELECT conv_id, turn, list_concat([1], {IDS.format('instruction')}) AS p, list_concat({IDS.format('response')}, [2]) AS c FROM {TURNS}))"
+EX = f"(SELECT conv_id, turn, list_concat(p, c)[1 : {MOST}] AS ids, list_concat(list_transform(p, lambda x: -100), c)[1 : {MOST}] AS labels, len(p) + len(c) > {MOST} AS over FROM (SELECT conv_id, turn, list_concat([1], {IDS.format('instruction')}) AS p, list_concat({IDS.format('response')}, [2]) AS c FROM {TURNS}))"
 
 
 @query(f"SELECT conv_id, turn, array_to_string(ids, ',') AS input_ids, array_to_string(labels, ',') AS labels, over AS exceeding_length FROM {EX}")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LANGUAGES = ("python", "cpp", "csharp", "java", "php", "rust", "swift", "typescript", "shell")
 REMAP = {"csharp": "c-sharp"}
+#: Languages that come from a corpus of their own.
+ELSEWHERE = frozenset({"swift"})
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str | None = None, strict: bool = True) -> DataFrame:
@@ -17,6 +17,11 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str | None =
     return (reader.schema(schema) if schema else reader).json(paths)
 
 
+def texts_of(df: DataFrame, *columns: str) -> DataFrame:
+    """Text columns of JSON rows, by name; a null or a key that no row has is an empty text."""
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
+
+
 def read_json(spark: SparkSession, paths: str | list[str], schema: str | None = None) -> DataFrame:
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(paths)
@@ -32,6 +37,17 @@ def read_language(spark: SparkSession, root: str, lang: str) -> DataFrame:
     return spark.read.parquet(root).where(F.col("lang") == REMAP.get(lang, lang))
 
 
+def read_seed_language(spark: SparkSession, root: str, other_root: str, lang: str) -> DataFrame:
+    """read_language() from the corpus that has the language."""
+    return read_language(spark, other_root if lang in ELSEWHERE else root, lang)
+
+
+def lang_of_metric(path: Column) -> Column:
+    """The language in the name of a metric file: what follows the first hyphen, up to an underscore."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(F.get(F.split(name, "-"), F.lit(1)), "_", 1)
+
+
 def lang_of_path(path: Column) -> Column:
     """The second part of a file name between hyphens, which must be a known language."""
     name = F.get(F.split(F.element_at(F.split(path, "/"), -1), "-"), F.lit(1))
@@ -64,6 +80,12 @@ def write_by_language(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").partitionBy("lang").parquet(path)
 
 
-def finished(path: str) -> bool:
-    """Has a writer completed this folder?"""
-    return os.path.exists(os.path.join(path.removeprefix("file://"), "_SUCCESS"))
+def write_scores(df: DataFrame, path: str, id_col: str, score_col: str, nearest_col: str) -> None:
+    """Scores and indices of the nearest rows, a JSON object for each row."""
+    df.select(F.col(id_col).alias("id"), F.col(score_col).alias("score"), F.col(nearest_col).alias("nearest")).write.mode("overwrite").json(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Has a writer completed this folder? Asks the file system that the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

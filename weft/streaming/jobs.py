@@ -32,6 +32,22 @@ def pending(prompts: DataFrame, done: DataFrame, key: str = "index") -> DataFram
     return prompts.join(done.select(key).distinct(), key, "left_anti")
 
 
+def resume_at(name: str, fingerprint: str, first: int, last: int, done: DataFrame, key: str = "index") -> int:
+    """The index from which a job goes on: after the last answer in ``done``.
+
+    The file's name has to hold the fingerprint of the data and the range of
+    indices, and there has to be an answer.
+    """
+    if fingerprint not in name:
+        raise ValueError("the file is of other data")
+    if f"{first}_{last}" not in name:
+        raise ValueError("the file is of another range")
+    top = done.agg(F.max(key)).first()[0]
+    if top is None:
+        raise ValueError("the file has no answers")
+    return int(top) + 1
+
+
 def generate(prompts: DataFrame, client: Callable[[str, int], tuple[str, str]], *, seed: int = 976) -> DataFrame:
     """Call a client for each (index, prompt): adds finish_reason and content. It gets the prompt and seed + index."""
 
