@@ -158,7 +158,8 @@ def function_pairs(docs: DataFrame, *, id_col: str = "doc_id", cover: bool = Tru
     spark.udtf.register("weft_python_functions", PythonFunctions)
     spark.udtf.register("weft_braced_spans", BracedSpans)
     own = docs.select(F.col(id_col).alias("id"), F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise(F.raise_error(F.lit("an unknown language"))).alias("lang"), "content", strip_header("seed").alias("seed"))
-    placed = own.select("id", locate_lines(F.col("content"), F.col("seed")).alias("x")).select("id", F.col("x.first").alias("seed_first"), F.col("x.last").alias("seed_last"))
+    located = own.select("id", locate_lines(F.col("content"), F.col("seed")).alias("x"))
+    placed = cut(located.select("id", F.col("x.first").alias("seed_first"), F.col("x.last").alias("seed_last")))  # else a pushed filter could search rows that are no part of docs
     own.createOrReplaceTempView("weft_mined")
     python = spark.sql("SELECT id, f.name, f.content, f.docstring, f.start_line, f.end_line FROM weft_mined, LATERAL weft_python_functions(content) f WHERE lang = 'python'")
     python = python.withColumn("docstring", F.coalesce(python_docstring("docstring"), F.lit("")))
