@@ -574,7 +574,7 @@ def test_pieces_without_blanks(spark):
 def test_resampling_takes_out_what_the_new_rate_cannot_hold():
     t = np.arange(48000)
     for rate, to in ((48000, 8000), (16000, 8000), (8000, 6000)):
-        high = (10000 * np.sin(2 * np.pi * 0.44 * t)).astype(np.int16)  # 0.44 of the old rate is beyond half of the new one
+        high = (10000 * np.sin(2 * np.pi * 0.48 * t)).astype(np.int16)  # 0.48 of the old rate is beyond half of the new one and the filter's slope
         low = (10000 * np.sin(2 * np.pi * 0.05 * to / rate * t)).astype(np.int16)
         y, off = audio.resample(np.concatenate([high, low]), np.array([0, 48000, 96000]), rate, to)
         mid = slice(200, -200)
