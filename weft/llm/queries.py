@@ -55,4 +55,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_telephony_audio, op2_quality_rules, op3_suffix_dedup, op4_language_id, op5_sentencepiece, op6_mixing, op7_jaccard_join, op8_sharding, op9_line_dedup, op10_toxicity)}
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op7_jaccard_join": jaccard.SQL, "op8_sharding": sharding.sql(), "op9_line_dedup": lines.SQL}
+SQL: dict[str, str] = {"op3_suffix_dedup": suffixes.SQL, "op6_mixing": mixing.SQL, "op7_jaccard_join": jaccard.SQL, "op8_sharding": sharding.sql(), "op9_line_dedup": lines.SQL}

@@ -267,3 +267,16 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     island = F.sum(F.when(F.col("begin") <= F.col("_reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     joined = every.withColumn("_reach", reach).withColumn("_island", island).groupBy("doc", "_island").agg(F.min("begin").alias("first_word"), (F.max("stop") - 1).alias("last_word"), F.bool_and("first").alias("original"))
     return joined.select(F.col("doc").alias(id_col), "first_word", "last_word", (F.col("last_word") - F.col("first_word") + 1).alias("n_words"), "original")
+
+
+#: Every window of LENGTH words by its words; those of two documents or more, joined where they touch.
+SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x20]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS MATERIALIZED (
+  SELECT doc_id, unnest(range(len(l))) AS b, unnest(l) AS h
+  FROM (SELECT doc_id, list_transform(range(1, len(w) - {LENGTH - 2}), lambda i: md5(array_to_string(w[i:i + {LENGTH - 1}], ' '))) AS l FROM w WHERE len(w) >= {LENGTH})
+), h AS (SELECT h, min(doc_id) AS lo FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+r AS (SELECT doc_id, b, doc_id = lo AS first, lag(b) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM g JOIN h USING (h)),
+i AS (SELECT *, sum(CASE WHEN b <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY b) AS k FROM r)
+SELECT doc_id, min(b) AS first_word, max(b) + {LENGTH - 1} AS last_word, max(b) - min(b) + {LENGTH} AS n_words, bool_and(first) AS original FROM i GROUP BY doc_id, k
+"""
