@@ -85,11 +85,17 @@ def test_band_shape():
     assert dedup.permutations(2) == [(2297359619001564596, 1396682528897996046), (1973689801170867272, 1819927849474927636)]
 
 
-def test_decontamination_plans_agree(spark, sf, monkeypatch):
+def test_decontamination(spark, sf, monkeypatch):
     t = Q.Tables(spark, sf)
-    loop = {tuple(r) for r in decontam.matches(t.documents, Q._patterns(t), "doc_id", ["text"]).collect()}
-    monkeypatch.setattr(decontam, "LOOP_PATTERNS", 0)
-    assert {tuple(r) for r in decontam.matches(t.documents, Q._patterns(t), "doc_id", ["text"]).collect()} == loop and len(loop) == 3
+    pats = [(r.bench_ord, r.item_ord, r.benchmark, r.pattern) for r in Q._patterns(t).collect()]
+    want = {}
+    for r in t.documents.collect():
+        hit = min((p for p in pats if p[3].lower() in r.text.lower()), default=None)
+        if hit:
+            want[r.doc_id] = hit[2:]
+    for most in (64_000_000, 2000):
+        monkeypatch.setattr(decontam, "PART_CHARS", most)
+        assert {r[0]: (r[1], r[2]) for r in decontam.matches(t.documents, Q._patterns(t), "doc_id", ["text"]).collect()} == want and len(want) == 3
     df = spark.createDataFrame([(1, "AbC", "x"), (2, "zzz", "b")], "i int, a string, b string")
     p = spark.createDataFrame([(1, "q", 0, "bc"), (0, "r", 0, "B"), (2, "s", 0, "c\n\nX")], "bench_ord int, benchmark string, item_ord long, pattern string")
     assert {tuple(r) for r in decontam.matches(df, p, "i", ["a", "b"]).collect()} == {(1, "r", "B"), (2, "r", "B")}
