@@ -35,6 +35,6 @@ def score_histogram(df: DataFrame, value: str) -> DataFrame:
 
 def weighted_rate(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Sum of rate times n over sum of n; keys that the dimension lacks are an error."""
-    got = df.join(F.broadcast(dim), key, "left")
+    got = df.join(dim, key, "left")
     n = F.coalesce("n", F.raise_error(F.concat(F.lit("no count for "), F.col(key))).cast("bigint"))
     return got.agg((F.sum(F.col("rate") * n) / F.sum(n)).alias("weighted_rate"))

@@ -91,8 +91,10 @@ def nearest_vector(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
     return pair.groupBy("id").agg(F.max_by("q", F.struct("score", -F.col("q"))).alias("nearest"), F.max("score").alias("score"))
 
 
-def lloyd_step(df: DataFrame, centers: DataFrame, id_col: str, vec_col: str, center_col: str) -> DataFrame:
-    """(id, center): the nearest center by squared distance, the least id among equals."""
+def lloyd_step(df: DataFrame, centers: DataFrame, id_col: str, vec_col: str, center_col: str, most: int = 10000) -> DataFrame:
+    """(id, center): the nearest center by squared distance, the least id among equals. At most ``most`` centers fit a task."""
+    if centers.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} centers")
     c = centers.select(F.col(center_col).alias("center"), F.col(vec_col).alias("_c"))
     far = F.aggregate(F.zip_with("_v", "_c", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     pair = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).crossJoin(F.broadcast(c)).select("id", "center", F.round(far, 6).alias("far"))
