@@ -12,30 +12,65 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the kernels know; the rest go. The model is trained on this stage's own rows."""
-    found = langid.identify_language(docs, langid.train_language(docs), keep_columns=True)
+    """Documents whose language the kernels know; the rest go.
+
+    The model is trained on this stage's own rows, at most 300 a language. A
+    null or empty text is no language and goes, as does one whose best score
+    is low or hardly leads. Rows with a null language or source take part as
+    any other; a null id only in training doesn't. Ties between languages are
+    no lead, so such a text goes. Rows that repeat are judged each, the
+    longest texts whole. Without any labelled text all rows go; an empty
+    table gives an empty one. Columns other than those of documents go.
+    """
+    found = langid.identify_language(docs.select(*COLUMNS), langid.train_language(docs), keep_columns=True)
     return found.where("accepted").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that too many documents share; documents that lose every line go."""
-    left = lines.dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    """Texts without the lines that too many documents share, n_chars anew; documents that lose every line go.
+
+    The document with the least id keeps such a line. A null text stays, a
+    row with a null id keeps its lines, an empty text that lost nothing
+    stays. Rows that repeat count as one document and are cut alike; ties
+    don't arise. Texts are taken whole; an empty table gives an empty one.
+    Columns other than those of documents go.
+    """
+    left = lines.dedup_lines(docs.select(*COLUMNS)).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near or exact copies, the one with the least id."""
-    return jaccard.drop_near_copies(docs).select(*COLUMNS)
+    """One document of each group of near or exact copies, the one with the least id.
+
+    Rows with a null id, null texts and texts without words have no copies
+    and stay; rows that share an id stay or go together; of equal texts the
+    least id stays. Texts are compared whole; an empty table gives an empty
+    one. Columns other than those of documents go.
+    """
+    return jaccard.drop_near_copies(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order; those of sources that are short of their weight come round again."""
-    return mixing.mix_sources(docs).select(*COLUMNS)
+    """Documents in training order; those of sources that are short of their weight come round again.
+
+    Every row is used at least once. A null source is a source of its own, a
+    null or blank text is placed with the document that follows it, and rows
+    that repeat have places each. Ties in the position go by the hash and
+    the id. An empty table gives an empty one. Columns other than those of
+    documents go.
+    """
+    return mixing.mix_sources(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return pieces.encode_pieces(docs, pieces.build(), keep_columns=True).drop("text")
+    """Token ids of every document, in place of its text.
+
+    A null text has null ids and an empty one none; texts are encoded whole,
+    rows that repeat each. Among segmentations of equal score pieces that
+    begin first win. An empty table gives an empty one. Columns other than
+    those of documents and of the encoding go.
+    """
+    return pieces.encode_pieces(docs.select(*COLUMNS), pieces.build(), keep_columns=True).drop("text")
 
 
 STAGES = [("language_id", identify), ("line_dedup", dedup_lines), ("jaccard_join", drop_near), ("mixing", mix), ("sentencepiece", encode)]
