@@ -155,3 +155,14 @@ def test_generation(spark, tmp_path):
 def test_catalog():
     assert len(Q.QUERIES) >= 80 and set(Q.SQL) <= set(Q.QUERIES)
     assert not [k for k, s in Q.SQL.items() if re.search(r"\bTABLESAMPLE\b", s)]
+
+
+def test_scratch_tables(spark):
+    from weft.plans import scratch
+
+    path = scratch.table_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    scratch.drop_table(spark, path)
+    with pytest.raises(Exception):
+        spark.read.parquet(path)

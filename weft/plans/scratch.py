@@ -42,6 +42,12 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table of table_path() that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver did."""
     root = str(Path(__file__).resolve().parents[2])
