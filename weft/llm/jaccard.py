@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.llm._text import NOT_ALNUM, col, content, fresh, grams, hashes, mix, rows_of, slices, trim, within, words
 from weft.plans.graph import components
-from weft.plans.scratch import cut, table_path
+from weft.plans.scratch import cut, drop_table, table_path
 
 N, THRESHOLD = 3, 0.6
 BITS = 56
@@ -316,7 +316,9 @@ def jaccard_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     here = F.element_at("m", F.col("part") + 1)
     partial = units.select("large", "g", "i", "j", "part", "id", "n", here.alias("m"), (weight - here).alias("rest"), "side", "prefix", F.element_at("grams", F.col("part") + 1).alias("grams")).groupBy("large", "g", "i", "j", "part").applyInArrow(_count(threshold), "a bigint, b bigint, na bigint, nb bigint, o bigint")
     pairs = partial.groupBy("a", "b").agg(F.max("na").alias("n_a"), F.max("nb").alias("n_b"), F.sum("o").alias("overlap")).withColumn("jaccard", F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).where(F.col("jaccard") >= threshold - 1e-12)
-    return cut(pairs.select("a", "b", "overlap", "n_a", "n_b", "jaccard")), members
+    pairs = cut(pairs.select("a", "b", "overlap", "n_a", "n_b", "jaccard"))
+    drop_table(spark, path)
+    return pairs, members
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
