@@ -166,3 +166,15 @@ def test_scratch_tables(spark):
     scratch.drop_table(spark, path)
     with pytest.raises(Exception):
         spark.read.parquet(path)
+
+
+def test_kmeans_ends_at_a_fixed_point(spark):
+    from weft.operators import similarity
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(10 * (i % 3), 1.0), rng.gauss(-10 * (i % 3), 1.0)]) for i in range(90)]
+    got = {r.id: r.label for r in similarity.kmeans(spark.createDataFrame(rows, "i int, v array<double>"), "i", "v", 3).collect()}
+    assert len(got) == 90 and set(got.values()) == {0, 1, 2}
+    mean = {c: [sum(v[d] for i, v in rows if got[i] == c) / sum(x == c for x in got.values()) for d in (0, 1)] for c in (0, 1, 2)}
+    for i, v in rows:
+        assert got[i] == min(mean, key=lambda c: sum((a - b) ** 2 for a, b in zip(v, mean[c])))

@@ -235,3 +235,21 @@ def test_decontaminate_keeps_rows_and_parts(spark, monkeypatch):
     tagged = decontam.decontaminate(docs.withColumnRenamed("a.b", "c"), p, "id", ["t"])
     out = decontam.excluded(tagged, ["id", "c"]).orderBy("data.id").collect()
     assert [(r.data.id, r.data.c, r.filter_reason) for r in out] == [(1, "x", "b0_match"), (3, "z", "b0_match")]
+
+
+def test_seen_keys_and_windows_of_a_stream(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    stamp = lambda m: f"2024-01-01T00:{m:02d}:00.000Z"
+    for k, rows in enumerate(([("a", 0), ("b", 1), ("a", 2)], [("a", 3), ("c", 4)], [("d", 50)])):
+        (src / f"{k}.json").write_text("".join(json.dumps({"k": x, "ts": stamp(m)}) + "\n" for x, m in rows))
+    stream = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(src))
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sorted(r.k for r in run(jobs.first_seen(stream, "k", "ts", "10 minutes"), "seen")) == ["a", "b", "c", "d"]
+    got = run(jobs.windowed_counts(stream, "ts", "10 minutes", "5 minutes", "k"), "counted")
+    assert {(r.k, r.n) for r in got} == {("a", 3), ("b", 1), ("c", 1)}  # the last window is still open

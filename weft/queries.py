@@ -618,7 +618,7 @@ def clean_job_examples(t: Tables) -> DataFrame:
 
 #: The operator's own setting, and the reference's.
 PERMS, SHAPE = 256, dedup.band_shape(0.7, 256)
-#: SQL of 256 permutations takes DuckDB over ten minutes on 1000 documents; tests/test_whole.py has these queries in plain Python.
+#: SQL of 256 permutations is too slow; tests/test_whole.py has the MinHash queries in plain Python.
 SHINGLE = """w AS (SELECT doc_id, string_split_regex(text, '[^A-Za-z_0-9]') AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 10))"""
 
 
