@@ -306,6 +306,12 @@ def test_sharding(spark, odd, documents):
     tied = spark.createDataFrame([(1 if i % 3 else None, str(i)) for i in range(400)] + [(i, "x") for i in range(40)], "doc_id int, t string")
     rows = sharding.row_numbers(tied, rows_per_part=10)[0].orderBy("row_number").collect()
     assert [r.row_number for r in rows] == list(range(440)) and [r.doc_id or -1 for r in rows] == sorted(r.doc_id or -1 for r in rows)
+    big = spark.createDataFrame([(2**62 + i % 50,) for i in range(0, 350, 7)] + [(None,)] * 9, "doc_id long")
+    rows = sharding.row_numbers(big, rows_per_part=6)[0].orderBy("row_number").collect()
+    assert [r.doc_id for r in rows] == [None] * 9 + [2**62 + i for i in range(50)]
+    days = spark.createDataFrame([(i, i % 7) for i in range(30)], "n int, k int").selectExpr("date_add(date'2020-01-01', n) as doc_id", "timestamp_millis(n) as t", "n")
+    for c in ("doc_id", "t"):
+        assert [r.n for r in sharding.row_numbers(days, id_col=c, rows_per_part=4)[0].orderBy("row_number").collect()] == list(range(30))
     named = sharding.row_numbers(spark.createDataFrame([(x,) for x in "edcba"], "doc_id string"), rows_per_part=2)[0]
     assert [r.doc_id for r in named.orderBy("row_number").collect()] == list("abcde")
     assert sharding.shard_rows(odd.limit(0)).count() == 0

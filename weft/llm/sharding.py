@@ -82,44 +82,50 @@ def row_numbers(df: DataFrame, *, id_col: str = "doc_id", name: str = "row_numbe
     cut the table into up to PARTS ranges; rows are numbered in their range,
     after the counts of the ranges before it. Nulls come first; rows with
     one id are ordered by a hash of the row, by which they are cut into
-    ranges too, and one that repeats takes as many numbers. Any column names
-    will do; ``name`` replaces a column that is called so.
+    ranges too, and one that repeats takes as many numbers. Ids are numbers,
+    strings, dates or timestamps. Any column names will do; ``name``
+    replaces a column that is called so.
     """
     spark = df.sparkSession
     base = df.select(*[col(c) for c in df.columns if c.lower() != name.lower()])
-    own = base.select(whole_row(base).alias("row"), col(id_col).alias("id"), row_hash(base).alias("other"))
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double", "string", "date", "timestamp"):
+        raise TypeError(f"ids of type {kind}")
+    key = {"date": F.unix_date, "timestamp": F.unix_micros}.get(kind, lambda c: c)(col(id_col))
+    own = base.select(whole_row(base).alias("row"), key.alias("key"), row_hash(base).alias("other"))
+    key_kind = own.schema["key"].dataType.simpleString()
     total = own.count()
     parts = min(PARTS, max(1, -(-total // rows_per_part)))
-    sample = own.select("id", "other").sample(min(1.0, min(200 * parts, SAMPLE) / total), 3).toArrow() if parts > 1 else None
+    sample = own.select("key", "other").sample(min(1.0, min(200 * parts, SAMPLE) / total), 3).toArrow() if parts > 1 else None
     none, ids, others = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if sample is not None and sample.num_rows:
-        known = np.array(sample["id"].combine_chunks().is_valid())
-        value, other = sample["id"].to_pandas().to_numpy(), sample["other"].to_numpy()
+        given = sample["key"].combine_chunks()
+        known, other = np.array(given.is_valid()), sample["other"].to_numpy()
         step = max(1, sample.num_rows // parts)
         none = np.sort(other[~known])[step::step]
-        value, other = value[known], other[known]
-        value = np.array(value.tolist()) if len(value) else np.zeros(0, np.int64)
+        value, other = np.array(given.drop_null().to_pylist()) if known.any() else ids, other[known]
         order = np.lexsort((other, value))[step::step]
         ids, others = value[order], other[order]
     sent = spark.sparkContext.broadcast((none, ids, others))
 
     @F.pandas_udf("int")
-    def bucket(i: pd.Series, h: pd.Series) -> pd.Series:
+    def bucket(i: pd.Series, missing: pd.Series, h: pd.Series) -> pd.Series:
         null, first, second = sent.value
-        out, ok, other = np.zeros(len(i), np.int64), i.notna().to_numpy(), h.to_numpy()
-        out[~ok] = np.searchsorted(null, other[~ok], "right")
-        if ok.any():
-            out[ok] = len(null) + 1 + pair_search(first, second, np.array(i[ok].tolist()), other[ok])
+        out, no, other = np.zeros(len(i), np.int64), missing.to_numpy(), h.to_numpy()
+        out[no] = np.searchsorted(null, other[no], "right")
+        if not no.all():
+            out[~no] = len(null) + 1 + pair_search(first, second, np.array(i[~no].tolist()), other[~no])
         return pd.Series(out)
 
-    placed = own.withColumn("part", bucket("id", "other"))
+    filler = F.lit("") if kind == "string" else F.lit(0).cast(key_kind)  # an integer column with nulls would reach the function as floats
+    placed = own.withColumn("part", bucket(F.coalesce("key", filler), F.col("key").isNull(), "other"))
     counts = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each range
     before, at = [], 0
     for p, n in counts:
         before.append((p, at))
         at += n
     ahead = spark.createDataFrame(before, "part int, ahead long")
-    order = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "other")
+    order = Window.partitionBy("part").orderBy(F.col("key").asc_nulls_first(), "other")
     numbered = placed.withColumn("local", F.row_number().over(order)).join(F.broadcast(ahead), "part")  # PARTS rows at most
     return numbered.select(*unpack("row", base.columns), (F.col("ahead") + F.col("local") - 1).alias(name)), total
 
