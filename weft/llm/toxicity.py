@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._text import NOT_ALNUM, col, content, grams, hashes, mix, rows_of, slices, within, trim, words
+from weft.llm._text import NOT_ALNUM, col, content, grams, hashes, mix, rows_of, slices, within, words
 from weft.plans.scratch import cut
 
 #: A passage is significant up to this expected count of such passages in a clean document of the length.
