@@ -7,7 +7,6 @@ import re
 import pytest
 
 from weft import queries as Q
-from weft.llm import mixing
 from weft.operators import dedup
 
 
@@ -129,13 +128,3 @@ def test_markers_hold_whole_texts(run):
     assert set(got) == {i for i in range(12) if i % 3 < 2} and all(base[i] in p for i, p in got.items())
     fenced = ([(i, "x\n```\nshared\n```\n") for i in range(1, 3)] + [(5, "y"), (6, "y")], "doc_id long, text string")
     assert {r.doc_id: r.copied for r in run("codeblock_copy", documents=fenced)} == {1: True, 2: True, 5: True, 6: False}
-
-
-def test_mixing_keeps_trailing_texts_without_tokens(spark):
-    key = lambda i: hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()
-    ids = sorted(range(60), key=key)
-    blank = {ids[-1]: "", ids[-2]: None, ids[-3]: " \n", ids[0]: ""}
-    docs = spark.createDataFrame([(i, blank.get(i, "a b c"), "one") for i in ids], "doc_id long, text string, source string")
-    got = mixing.mix_sources(docs).collect()
-    assert sorted(r.doc_id for r in got) == list(range(60)) and max(r.position for r in got) <= 1
-    assert {r.doc_id for r in mixing.mix_sources(docs, budget=90.0).collect()}.isdisjoint(ids[-3:])
