@@ -178,3 +178,31 @@ def test_kmeans_ends_at_a_fixed_point(spark):
     mean = {c: [sum(v[d] for i, v in rows if got[i] == c) / sum(x == c for x in got.values()) for d in (0, 1)] for c in (0, 1, 2)}
     for i, v in rows:
         assert got[i] == min(mean, key=lambda c: sum((a - b) ** 2 for a, b in zip(v, mean[c])))
+
+
+def test_nearest_text(spark):
+    import math
+    from collections import Counter
+
+    from weft.operators import similarity
+
+    docs = [(1, "red green blue"), (2, "Red red fish"), (3, "nothing shared"), (4, None), (5, ""), (6, "green fish")]
+    asked = [(7, "red fish"), (8, "green"), (9, "fish red")]
+    words = lambda t: re.findall(r"\w\w+", (t or "").lower())
+    df = Counter(w for _, t in docs + asked for w in set(words(t)))
+    n = len(docs) + len(asked)
+
+    def weigh(t):
+        w = {x: c * (math.log((1 + n) / (1 + df[x])) + 1) for x, c in Counter(words(t)).items()}
+        size = math.sqrt(sum(v * v for v in w.values())) or 1.0
+        return {x: v / size for x, v in w.items()}
+
+    want = {}
+    for i, t in docs:
+        scores = [(round(sum(v * weigh(q).get(x, 0) for x, v in weigh(t).items()), 6), -k) for k, q in asked]
+        top = max(scores)
+        want[i] = (-top[1], top[0]) if top[0] > 0 else (None, 0.0)
+    a = spark.createDataFrame(docs, "i long, t string")
+    b = spark.createDataFrame([(k, q) for k, q in asked], "k long, t string")
+    assert {r.id: (r.nearest, r.score) for r in similarity.nearest_text(a, b, "i", "t", "k").collect()} == want
+    assert {(r.nearest, r.score) for r in similarity.nearest_text(a, b.limit(0), "i", "t", "k").collect()} == {(None, 0.0)}
