@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weft import queries as Q
 from weft.functions import text as T
-from weft.operators import decontam, dedup, formatting, mining, sampling, sft
+from weft.operators import benchmarks, decontam, dedup, formatting, mining, sampling, sft
 from weft.plans.graph import components
 from weft.streaming import jobs
 
@@ -206,3 +206,13 @@ def test_nearest_text(spark):
     b = spark.createDataFrame([(k, q) for k, q in asked], "k long, t string")
     assert {r.id: (r.nearest, r.score) for r in similarity.nearest_text(a, b, "i", "t", "k").collect()} == want
     assert {(r.nearest, r.score) for r in similarity.nearest_text(a, b.limit(0), "i", "t", "k").collect()} == {(None, 0.0)}
+
+
+def test_docstring_that_ends_in_a_quote(spark):
+    said = ["plain", "he said \"so\"", "it's 'so'", "\"", "", "\"both\""]
+    prompts = [f'def f():\n    """{x}"""' for x in said] + [f"def f():\n  '''{x}'''\n" for x in said] + [f'def g():\n """{x}"""\ndef f():\n """{x}"""\n' for x in said]
+    got = [r.d for r in one(spark, prompts).orderBy("i").select(benchmarks.quoted_docstring(F.col("x")).alias("d")).collect()]
+    assert got == said * 3
+    for bad in ('"""a"""b"""', '"""open', "none", "'''a''' '''b'''", '"""a""" """b""" """c"""'):
+        with pytest.raises(Exception, match="docstring"):
+            one(spark, [bad]).select(benchmarks.quoted_docstring(F.col("x"))).collect()

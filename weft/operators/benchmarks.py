@@ -31,10 +31,18 @@ def before_mark(prompt: Column) -> Column:
 
 
 def quoted_docstring(prompt: Column) -> Column:
-    """What the last docstring of a prompt says: of two or four triple double quotes, or else of two triple single ones."""
+    """What the last docstring of a prompt says: of two or four triple double quotes, or else of two triple single ones.
+
+    Where more than three quotes stand at the end of a docstring, the last three close it and the others are its own.
+    """
     a, b = '"""', "'''"
-    double = let(F.split(prompt, a, -1), lambda p: F.when(F.size(p) == 3, F.get(p, F.lit(1))).when(F.size(p) == 5, F.get(p, F.lit(3))).otherwise(_fail("a prompt has an odd number of docstring quotes")))
-    single = let(F.split(prompt, b, -1), lambda p: F.when(F.size(p) == 3, F.get(p, F.lit(1))).otherwise(_fail("a prompt has no docstring")))
+
+    def last(q: str, most: int, why: str) -> Column:
+        own = f"(?s){q}(.*?){q}(?!{q[0]})"
+        good = lambda ds: (F.size(ds) > 0) & (F.size(ds) <= most) & ~F.contains(F.regexp_replace(prompt, own, " "), F.lit(q))
+        return let(F.regexp_extract_all(prompt, F.lit(own), F.lit(1)), lambda ds: F.when(good(ds), F.element_at(ds, -1)).otherwise(_fail(why)))
+
+    double, single = last(a, 2, "a prompt has an odd number of docstring quotes"), last(b, 1, "a prompt has no docstring")
     return strip(F.when(F.contains(prompt, F.lit(a)), double).otherwise(single))
 
 
