@@ -216,3 +216,15 @@ def test_docstring_that_ends_in_a_quote(spark):
     for bad in ('"""a"""b"""', '"""open', "none", "'''a''' '''b'''", '"""a""" """b""" """c"""'):
         with pytest.raises(Exception, match="docstring"):
             one(spark, [bad]).select(benchmarks.quoted_docstring(F.col("x"))).collect()
+
+
+def calls(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"{name}(")
+
+
+def test_code_blocks_need_no_search_for_blanks_at_ends(spark, sf):
+    """A regular expression for blanks at either end looks at every character of every line."""
+    assert calls(Q.QUERIES["codeblock_copy"](spark, sf), "regexp_replace") == 2
+    odd = ["\u2003\u3000a \u00a0b\x85", "\u0085", "\u200b x \u200b", "\x1f\x1cé\u2028", "tail\u2029\r\n", "\u180e\U0001f600 \n"]
+    for r in one(spark, odd).select("x", T.squeeze("x").alias("s"), T.strip("x").alias("t"), T.lines("x").alias("l"), T.bare_lines("x").alias("b")).collect():
+        assert (r.s, r.t, r.l, r.b) == ("".join(r.x.split()), r.x.strip(), r.x.splitlines(keepends=True), r.x.splitlines())

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode has it; Java's \\s knows the ASCII part alone.
-WS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
-_BREAKS = "\\n\\x0b\\f\\r\\x1c-\\x1e\\x85\\u2028\\u2029"
-LINES = f"[^{_BREAKS}]*(?:\\r\\n|[{_BREAKS}])|[^{_BREAKS}]+\\z"
+#: White space and line breaks as Unicode has them; Java's \\s knows the ASCII part alone.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+BREAKS = "\n\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029"
+#: Java looks single Latin characters up in one table, but asks each range of a class in turn: the usual ones go first, the rare ones are behind a test.
+WS = "[\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f\\x20\\x85\\xa0[[^\\x00-\\xff]&&[\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]]]"
+_BREAKS = "\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
+_IN_LINE = f"[\\x20-\\x7e[^{_BREAKS}]]"
+LINES = f"{_IN_LINE}*+(?:\\r\\n|[{_BREAKS}])|{_IN_LINE}++\\z"
 FENCE = "```"
 
 
@@ -29,7 +33,7 @@ def squeeze(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"\\A{WS}+|{WS}+\\z", "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def lines(c: Column | str) -> Column:
@@ -39,7 +43,7 @@ def lines(c: Column | str) -> Column:
 
 def bare_lines(c: Column | str) -> Column:
     """The lines without their ends."""
-    return F.transform(lines(c), lambda x: F.regexp_replace(x, f"(?:\\r\\n|[{_BREAKS}])\\z", ""))
+    return F.transform(lines(c), lambda x: F.rtrim(x, F.lit(BREAKS)))
 
 
 def codeblocks(c: Column | str) -> Column:
