@@ -228,3 +228,8 @@ def test_code_blocks_need_no_search_for_blanks_at_ends(spark, sf):
     odd = ["\u2003\u3000a \u00a0b\x85", "\u0085", "\u200b x \u200b", "\x1f\x1cé\u2028", "tail\u2029\r\n", "\u180e\U0001f600 \n"]
     for r in one(spark, odd).select("x", T.squeeze("x").alias("s"), T.strip("x").alias("t"), T.lines("x").alias("l"), T.bare_lines("x").alias("b")).collect():
         assert (r.s, r.t, r.l, r.b) == ("".join(r.x.split()), r.x.strip(), r.x.splitlines(keepends=True), r.x.splitlines())
+
+
+def test_pairs_cut_each_text_into_lines_once(spark, sf):
+    assert calls(Q.QUERIES["pair_generic"](spark, sf), "regexp_extract_all") == 2
+    assert calls(Q.QUERIES["pair_generic"](spark, sf), "regexp_replace") == 0
