@@ -233,3 +233,9 @@ def test_code_blocks_need_no_search_for_blanks_at_ends(spark, sf):
 def test_pairs_cut_each_text_into_lines_once(spark, sf):
     assert calls(Q.QUERIES["pair_generic"](spark, sf), "regexp_extract_all") == 2
     assert calls(Q.QUERIES["pair_generic"](spark, sf), "regexp_replace") == 0
+
+
+def test_comments_need_no_regular_expression(spark, sf):
+    assert calls(Q.QUERIES["strip_comment"](spark, sf), "regexp_replace") == 0
+    rows = ["*/", "/*/", "/** */", "a */ ", "a*/*/", "///", "* * x", "", "\u3000/* x\u3000*/"]
+    assert [r.c for r in one(spark, rows).orderBy("i").select(T.strip_comment("x").alias("c")).collect()] == ["", "", "", "a", "a*/", "", "* x", "", "x"]

@@ -99,13 +99,12 @@ def fixed(c: Column | str, digits: int) -> Column:
 def strip_comment(c: Column | str) -> Column:
     """A comment without its delimiters, line by line: the end mark, then one leading mark."""
 
-    def one(x: Column) -> Column:
-        x = strip(x)
-        x = F.regexp_replace(x, "\\*/\\z", "")
+    def bare(x: Column) -> Column:
         lead = F.when(F.startswith(x, F.lit("/**")), 3).when(F.startswith(x, F.lit("///")), 3).when(F.startswith(x, F.lit("/*")) | F.startswith(x, F.lit("//")), 2).when(F.startswith(x, F.lit("*")), 1).otherwise(0)
         return strip(F.substring(x, lead + 1, F.length(x)))
 
-    return strip(F.array_join(F.transform(F.split(_col(c), "\n", -1), one), "\n"))
+    unended = lambda x: F.when(F.endswith(x, F.lit("*/")), F.substring(x, F.lit(1), F.length(x) - 2)).otherwise(x)
+    return strip(F.array_join(F.transform(F.transform(F.transform(F.split(_col(c), "\n", -1), strip), unended), bare), "\n"))
 
 
 def doc_summary(c: Column | str) -> Column:
