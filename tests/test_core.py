@@ -239,3 +239,9 @@ def test_comments_need_no_regular_expression(spark, sf):
     assert calls(Q.QUERIES["strip_comment"](spark, sf), "regexp_replace") == 0
     rows = ["*/", "/*/", "/** */", "a */ ", "a*/*/", "///", "* * x", "", "\u3000/* x\u3000*/"]
     assert [r.c for r in one(spark, rows).orderBy("i").select(T.strip_comment("x").alias("c")).collect()] == ["", "", "", "a", "a*/", "", "* x", "", "x"]
+
+
+def test_seed_snippets_cut_lines_once(spark, sf):
+    assert calls(Q.QUERIES["seed_snippet"](spark, sf), "regexp_extract_all") == 1
+    got = sampling.seed_snippets(one(spark, ["", None, "\n", "a"]), "i", "x").collect()
+    assert {tuple(r) for r in got} == {(2, "\n"), (3, "a")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import lines
+from weft.functions.text import let, lines
 
 
 def shuffle_key(id_col: Column | str, seed: int) -> Column:
@@ -67,6 +67,6 @@ def _draw(id_col: str, seed: int, what: str) -> Column:
 
 def seed_snippets(df: DataFrame, id_col: str, text_col: str, *, least: int = 1, most: int = 15, seed: int = 976) -> DataFrame:
     """(id, seed): a run of lines of each text, from a drawn line, of a drawn length, cut at the end. Empty texts have none."""
-    own = df.select(F.col(id_col).alias("raw_index"), lines(text_col).alias("_l"), _draw(id_col, seed, "start").alias("_a"), _draw(id_col, seed, "size").alias("_n")).where(F.size("_l") > 0)
-    start = (F.col("_a") % F.size("_l") + 1).cast("int")
-    return own.select("raw_index", F.array_join(F.slice("_l", start, (F.col("_n") % (most - least + 1) + least).cast("int")), "").alias("seed"))
+    start, size = _draw(id_col, seed, "start"), (_draw(id_col, seed, "size") % (most - least + 1) + least).cast("int")
+    run = lambda ls: F.array_join(F.slice(ls, (start % F.size(ls) + 1).cast("int"), size), "")
+    return df.where(F.length(text_col) > 0).select(F.col(id_col).alias("raw_index"), let(lines(text_col), run).alias("seed"))
