@@ -1,8 +1,10 @@
 """Core operators against plain Python on hand-made rows."""
 
+import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +247,31 @@ def test_seed_snippets_cut_lines_once(spark, sf):
     assert calls(Q.QUERIES["seed_snippet"](spark, sf), "regexp_extract_all") == 1
     got = sampling.seed_snippets(one(spark, ["", None, "\n", "a"]), "i", "x").collect()
     assert {tuple(r) for r in got} == {(2, "\n"), (3, "a")}
+
+
+def test_sha1_and_permutations_abreast():
+    rng = random.Random(2)
+    parts = [bytes(rng.choices(range(33, 127), k=n)) for n in [0, 1, 30, 54, 55, 56, 57, 63, 64, 65, 119, 120, 300, *range(2, 50)]]
+    stop = np.cumsum([len(x) for x in parts])
+    got = dedup._hashes(b"".join(parts), stop - [len(x) for x in parts], stop)
+    assert got.tolist() == [int.from_bytes(hashlib.sha1(x).digest()[:4], "little") for x in parts]
+    ab = dedup.permutations(16)
+    sign = dedup._signer(16)
+    # hashes whose products end just below, at and above a multiple of the prime, and at the ends of 32 bits
+    edge = [(r + k * dedup.PRIME - b) * pow(a, -1, 2**64) % 2**64 for a, b in ab if a % 2 for r in (-9, -8, -2, -1, 0, 1, 6, 7, 8, 2**32 - 2, 2**32 - 1) for k in (1, 5)]
+    for v in [[], [0], [2**32 - 1], *([x] for x in edge), *(rng.choices(edge, k=3) for _ in range(50)), [rng.getrandbits(32) for _ in range(700)]]:
+        want = [min([(x * a + b) % 2**64 % dedup.PRIME % 2**32 for x in v], default=2**32 - 1) for a, b in ab]
+        assert sign(np.array(v, np.uint64)).tolist() == want
+
+
+def test_signatures_of_odd_texts(spark):
+    """Characters beyond ASCII, shingles over one block, missing and short texts; a batch over one slice."""
+    signed = dedup.minhash(one(spark, ["a b c d e f g h i j k"] * 1000).coalesce(1), "i", "x", n_perm=2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert signed.count() == 1000 and dedup._TEXTS <= 128
+    words = dedup.minhash(one(spark, ["é" * 9 + "a", "x" * 70 + " b c d e f g h i j", None, "a b"]), "i", "x", n_perm=2).orderBy("id").collect()
+    ab = dedup.permutations(2)
+    for r, x in zip(words, ["é" * 9 + "a", "x" * 70 + " b c d e f g h i j", "", "a b"]):
+        w = re.split("[^A-Za-z_0-9]", x)
+        h = [int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in {" ".join(w[k : k + 5]) for k in range(len(w) - 4)}] if len(w) >= 10 else []
+        assert r.signature == [min([(v * a + b) % 2**64 % dedup.PRIME % 2**32 for v in h], default=2**32 - 1) for a, b in ab]
