@@ -12,6 +12,8 @@ from weft.functions.text import joined_lower
 
 #: Characters of patterns in one automaton; more of them are searched for in parts.
 PART_CHARS = 64_000_000
+#: Texts searched at a time, which is what a task has in memory besides an Arrow batch and the automaton.
+TEXTS = 128
 
 
 def pattern_table(*sources: tuple[str, DataFrame], ignored: set[str] = frozenset()) -> DataFrame:
@@ -66,7 +68,7 @@ def _automaton(text: DataFrame, keep: list[str], rows: list[tuple[str, int, int]
             tree.add_word(p, order)
         if items:
             tree.make_automaton()
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             best = []
             for t in batch.column("_t").to_pylist():
                 seen = {order for _, order in tree.iter(t)} if items else set()
