@@ -574,11 +574,11 @@ def length_histogram(t: Tables) -> DataFrame:
 # --- exact dedup -------------------------------------------------------------
 
 
-def _three_keys(t: Tables) -> DataFrame:
+def _three_keys(t: Tables, *more: str) -> DataFrame:
     """The whole text, and its two halves; a blank half would equal any other, so the text stands for it."""
     x = F.col("text")
     whole = lambda half: F.when(T.strip(half) == "", x).otherwise(half)
-    return t.documents.select("doc_id", F.concat(F.md5(F.concat(F.lit("666:"), F.col("doc_id").cast("string"))), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("ord"), x.alias("seed"), whole(_instr()).alias("problem"), whole(_resp()).alias("solution"))
+    return t.documents.select("doc_id", *more, F.concat(F.md5(F.concat(F.lit("666:"), F.col("doc_id").cast("string"))), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("ord"), x.alias("seed"), whole(_instr()).alias("problem"), whole(_resp()).alias("solution"))
 
 
 @query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('666:' || doc_id)) AS rn, doc_id, md5(regexp_replace(text, '{WS}', '', 'g')) AS s, md5(regexp_replace(CASE WHEN {_strip(SI)} = '' THEN text ELSE {SI} END, '{WS}', '', 'g')) AS p, md5(regexp_replace(CASE WHEN {_strip(SR)} = '' THEN text ELSE {SR} END, '{WS}', '', 'g')) AS q FROM documents),
@@ -595,7 +595,7 @@ CLEANED = SQL["clean_greedy3"].removesuffix("SELECT doc_id, keep, reason FROM r
 
 
 def _job(t: Tables) -> cleaning.Cleaned:
-    return cleaning.clean(_three_keys(t).drop("ord").join(t.documents.select("doc_id", "lang"), "doc_id"), id_col="doc_id")
+    return cleaning.clean(_three_keys(t, "lang").drop("ord"), id_col="doc_id")
 
 
 @query(CLEANED + "SELECT lang, reason, count(*) AS n FROM (SELECT * FROM r WHERE rn > 0) r JOIN documents USING (doc_id) WHERE NOT keep GROUP BY ALL")
