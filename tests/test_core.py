@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft import queries as Q
 from weft.functions import text as T
-from weft.operators import benchmarks, decontam, dedup, formatting, mining, sampling, sft
+from weft.operators import benchmarks, decontam, dedup, formatting, mining, sampling, sft, similarity
 from weft.plans.graph import components
 from weft.streaming import jobs
 
@@ -275,3 +275,11 @@ def test_signatures_of_odd_texts(spark):
         w = re.split("[^A-Za-z_0-9]", x)
         h = [int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in {" ".join(w[k : k + 5]) for k in range(len(w) - 4)}] if len(w) >= 10 else []
         assert r.signature == [min([(v * a + b) % 2**64 % dedup.PRIME % 2**32 for v in h], default=2**32 - 1) for a, b in ab]
+
+
+def test_tfidf_counts_terms_once(spark):
+    docs = one(spark, ["Ab ab a É é_1 ÉÉ Ⅷx ٣٤ 中文 x", "ab cd", None, ""])
+    own = similarity.tfidf(docs, "i", "x")
+    assert calls(own, "regexp_extract_all") == 0  # texts are cut into terms before, and their counts kept
+    assert {r.term for r in own.where("id = 0").collect()} == {"ab", "é_1", "éé", "ⅷx", "٣٤", "中文"}
+    assert all(abs(r.n - 1) < 1e-9 for r in own.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect())

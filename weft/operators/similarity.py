@@ -15,17 +15,25 @@ from weft.functions.text import cosine
 from weft.plans.scratch import cut
 from weft.sources.io import finished
 
-TERM = "[\\p{L}\\p{N}_]{2,}"
+#: Java looks the usual letters up in one table; the classes of others are asked beyond ASCII only.
+_LETTER = "[abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_[[^\\x00-\\x7f]&&[\\p{L}\\p{N}]]]"
+TERM = f"{_LETTER}{_LETTER}++"
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, weight): raw counts times ln((1 + n) / (1 + df)) + 1, rows of length 1."""
     n = df.agg(F.count("*").alias("_n"))
-    tf = df.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf = _frequencies(df, F.col(id_col), text_col)
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.select("id", "term", (F.col("w") / norm).alias("weight"))
+
+
+def _frequencies(df: DataFrame, id_: Column, text_col: str) -> DataFrame:
+    """(id, term, tf), kept in the shared folder. Texts are brought together by id, and their terms are counted where they are cut."""
+    own = df.select(id_.alias("id"), F.col(text_col).alias("_t")).repartition("id")
+    return cut(own.select("id", F.explode(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")))
 
 
 #: Weights of query terms that go to every task.
@@ -40,8 +48,7 @@ def nearest_text(df: DataFrame, queries: DataFrame, id_col: str, text_col: str,
     sparse matrix, whose size is checked (QUERY_TERMS weights at most), and
     documents are scored against it in Arrow batches.
     """
-    words = lambda d, i: d.select(F.col(i).cast("bigint").alias("id"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    docs, asked = cut(words(df, id_col)), cut(words(queries, query_col))
+    docs, asked = (_frequencies(d, F.col(i).cast("bigint"), text_col) for d, i in ((df, id_col), (queries, query_col)))
     n = df.count() + queries.count()
     freq = cut(docs.select("term").union(asked.select("term")).groupBy("term").agg((F.log((1.0 + n) / (1.0 + F.count("*"))) + 1).alias("idf")))
     w = docs.join(freq, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
